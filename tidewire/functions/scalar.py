@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.schemas import DNS_PORT, ICMP, TCP, UDP
@@ -21,15 +21,25 @@ CIC_BENIGN_RAW = ["BENIGN", "NORMAL", "BACKGROUND"]
 CIC_BOTNET_RAW = ["BOT", "BOTNET", "BOTNET ARES"]
 
 
+LARGEST = 1.7976931348623157e308
+
+
+def bind(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds columns that are worked out once per row, whatever refers to them later.
+
+    Plain projections may be merged into later ones and filters copied below them, which repeats costly text
+    work; a one-row `inline` keeps the expression in one place.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def is_finite(x: Column) -> Column:
-    """Neither null, NaN nor infinite."""
-    x = x.cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    """Neither null, NaN nor infinite (NaN compares as larger than any number)."""
+    return F.coalesce(x.cast("double").between(-LARGEST, LARGEST), F.lit(False))
 
 
 def finite_or_null(x: Column) -> Column:
-    x = x.cast("double")
-    return F.when(is_finite(x), x)
+    return F.when(x.cast("double").between(-LARGEST, LARGEST), x.cast("double"))
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import (
-    CIC_BENIGN_RAW, CIC_BOTNET_RAW, binetflow_label, cic_label, clip_low, count_to_flag, finite_or_null, is_finite,
+    CIC_BENIGN_RAW, CIC_BOTNET_RAW, bind, binetflow_label, cic_label, clip_low, count_to_flag, finite_or_null,
     parse_port, parse_start_time, proto_number, ratio_or, us_to_s,
 )
 from tidewire.operators import skew
@@ -36,14 +36,12 @@ BINETFLOW_NUMBERS = ["Dur", "TotPkts", "TotBytes", "SrcBytes"]
 BINETFLOW_TIMES = ("yyyy/MM/dd HH:mm:ss.SSSSSS", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def number(text: Column) -> Column:
-    """Finite number of a text, else null."""
-    return finite_or_null(F.trim(text).try_cast("double"))
-
-
 def with_numbers(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """The listed columns, where present, as finite doubles or null."""
-    return raw.withColumns({c: number(F.col(f"`{c}`")) for c in columns if c in raw.columns})
+    """The listed columns, where present, as finite doubles or null; each text is read once."""
+    present = [c for c in columns if c in raw.columns]
+    parsed = bind(raw, {f"_n{i}": F.trim(F.col(f"`{c}`")).try_cast("double") for i, c in enumerate(present)})
+    values = {c: finite_or_null(F.col(f"_n{i}")).alias(c) for i, c in enumerate(present)}
+    return parsed.select(*[values.get(c, F.col(f"`{c}`")) for c in raw.columns])
 
 
 def filter_finite(raw: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,8 +73,7 @@ def cic_transform(clean: DataFrame, keep: list[str] = [], formats: tuple[str, ..
     for name, source in CIC_COLUMNS.items():
         value = F.col(f"`{source}`").cast("double") if source in clean.columns else F.lit(0.0)
         direct[name] = us_to_s(value) if name in CIC_MICROSECONDS else value
-    staged = clean.withColumns({f"_{n}": v for n, v in direct.items()})
-    v = {n: F.col(f"_{n}") for n in direct}
+    v = direct
     fwd, bwd = v["fwd_total_bytes"], v["bwd_total_bytes"]
     v["total_packets"] = v["fwd_packet_count"] + v["bwd_packet_count"]
     v["total_bytes"] = fwd + bwd
@@ -87,7 +84,7 @@ def cic_transform(clean: DataFrame, keep: list[str] = [], formats: tuple[str, ..
         v[name] = count_to_flag(F.col(f"`{source}`")) if source in clean.columns else F.lit(0.0)
     v.update({n: F.lit(0.0) for n in CIC_ZERO})
     start = parse_start_time(F.col("Timestamp"), *formats) if "Timestamp" in clean.columns else F.lit(0.0)
-    return _as_table(staged, v, keep, [cic_label(F.col("Label")).alias("label"), start.alias("start_time")])
+    return _as_table(clean, v, keep, [cic_label(F.col("Label")).alias("label"), start.alias("start_time")])
 
 
 def binetflow_label_filter(raw: DataFrame, include_background: bool = False) -> DataFrame:
@@ -144,11 +141,12 @@ def prepare_binetflow(
 def clean_drop_stats(raw: DataFrame, columns: list[str], usable: Column | None = None) -> DataFrame:
     """One pass, one row: rows seen, dropped while cleaning, dropped for their label, with percentages."""
     finite = F.lit(True)
+    numbers = with_numbers(raw, columns)
     for c in columns:
         if c in raw.columns:
-            finite = finite & is_finite(F.trim(F.col(f"`{c}`")).try_cast("double"))
+            finite = finite & F.col(f"`{c}`").isNotNull()
     usable = F.lit(True) if usable is None else usable
-    flags = raw.select(F.coalesce(finite, F.lit(False)).alias("ok"), F.coalesce(usable, F.lit(False)).alias("use"))
+    flags = numbers.select(finite.alias("ok"), F.coalesce(usable, F.lit(False)).alias("use"))
 
     def percent(part, whole):
         return F.lit(100.0) * part / F.greatest(whole, F.lit(1))
@@ -171,5 +169,7 @@ def benign_sample(table: DataFrame, n: int, seed: int = 42, row_key: list[str] |
     """
     columns = table.columns
     hashed = table.withColumn("_h", skew.hash60(F.lit(str(seed)), *[F.col(c).cast("string") for c in row_key or columns]))
-    benign = skew.mark_first(hashed.filter("label = 0"), ["_h"], n, "_keep").filter("_keep")
-    return benign.select(*columns).unionByName(hashed.filter("label <> 0").select(*columns))
+    benign = F.col("label") == 0
+    test, cut = skew.first_k(hashed.filter(benign), ["_h"], n, {"_h": skew.HASH_RANGE})
+    kept = skew.mark(hashed, [(benign, test, cut), (~benign, F.lit(True), None)], ["_h"], "_keep")
+    return kept.filter("_keep").select(*columns)

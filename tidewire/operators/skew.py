@@ -139,45 +139,59 @@ def hash60(*columns) -> Column:
 
 @dataclass
 class Threshold:
-    """The first k rows of an order: rows before `values`, and `ties` of the rows equal to it."""
+    """The first k rows of an order: rows before `values`, and `ties` of the `n_equal` rows equal to it."""
 
     values: tuple
     ties: int
     n_equal: int
 
 
-def order_threshold(df: DataFrame, keys: list[str], k: int, bins: int = 1 << 12) -> Threshold | None:
+HASH_RANGE = (0, (1 << 60) - 1)
+
+
+def order_threshold(
+    df: DataFrame, keys: list[str], k: int, ranges: dict[str, tuple[int, int]] = {}, bins: int = 1 << 14,
+    few: int = 50_000,
+) -> Threshold | None:
     """Finds the k-th row in the order of BIGINT columns `keys`, without sorting.
 
     Each round counts rows per bin of the remaining range (at most `bins` rows come back) and zooms into the
-    bin that holds row k. None when k covers no row or all rows.
+    bin that holds row k, until `few` rows or one value are left. None when k covers no row or all rows.
     """
     if k <= 0:
         return None
-    at, left, inside = [], k, df
-    n = None
-    for key in keys:
-        low, high, n = inside.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-        if n is None or left > n or low is None:
+    at, left, inside, n = [], k, df.select(*keys), None
+    for i, key in enumerate(keys):
+        low, high = ranges.get(key) or inside.agg(F.min(key), F.max(key)).first()
+        if low is None:
             return None
-        while low < high:
+        while low < high or n is None:
+            if n is not None and n <= few:
+                return _threshold_of_few(inside, keys, at, left)
             width = max(1, -(-(high - low + 1) // bins))
             counts = (
-                inside.filter(F.col(key).between(low, high))
-                .groupBy(F.expr(f"({key} - ({low}L)) div {width}L").alias("bin")).count()
+                inside.groupBy(F.expr(f"({key} - ({low}L)) div {width}L").alias("bin")).count()
                 .orderBy("bin").collect()
             )
-            for bin_no, count in counts:
-                if left <= count:
+            if left > sum(c for _, c in counts):
+                return None
+            for bin_no, n in counts:
+                if left <= n:
                     break
-                left -= count
+                left -= n
             low, high = low + bin_no * width, min(high, low + (bin_no + 1) * width - 1)
-            n = count
+            inside = inside.filter(F.col(key).between(low, high))
         at.append(low)
-        inside = inside.filter(F.col(key) == low)
     return Threshold(tuple(at), left, n)
 
 
+def _threshold_of_few(inside: DataFrame, keys: list[str], known: list[int], left: int) -> Threshold:
+    rows = sorted(tuple(r) for r in inside.collect())       # bounded by `few`
+    value = rows[left - 1]
+    first = rows.index(value)
+    return Threshold(value, left - first, rows.count(value))
+
+
 def before(keys: list[str], values: tuple) -> Column:
     """Lexicographic `keys < values`."""
     test, equal = F.lit(False), F.lit(True)
@@ -194,23 +208,39 @@ def equal_to(keys: list[str], values: tuple) -> Column:
     return test
 
 
-def mark_first(df: DataFrame, keys: list[str], k: int, name: str) -> DataFrame:
-    """Adds a boolean: is the row among the first k in the order of `keys`? Exactly k rows are.
+def first_k(df: DataFrame, keys: list[str], k: int, ranges: dict[str, tuple[int, int]] = {}) -> tuple[Column, Threshold | None]:
+    """A test for "among the first k in the order of `keys`"; with the threshold when copies straddle the cut."""
+    if k <= 0:
+        return F.lit(False), None
+    cut = order_threshold(df, keys, k, ranges)
+    if cut is None:
+        return F.lit(True), None
+    if cut.ties == cut.n_equal:
+        return before(keys, cut.values) | equal_to(keys, cut.values), None
+    return before(keys, cut.values), cut
+
+
+def mark(df: DataFrame, tests: list[tuple[Column, Column, Threshold | None]], keys: list[str], name: str) -> DataFrame:
+    """Adds a boolean from (where it applies, test, threshold) triples: one scan, unless copies straddle a cut.
 
     Rows that tie at the cut are told apart by all their columns; only full copies remain equal, and which of
     those is taken cannot be seen in the result. Copies are counted, not ranked one by one.
     """
-    if k <= 0:
-        return df.withColumn(name, F.lit(False))
-    cut = order_threshold(df, keys, k)
-    if cut is None:
-        return df.withColumn(name, F.lit(True))
-    first = df.withColumn(name, before(keys, cut.values) | (equal_to(keys, cut.values) & F.lit(cut.ties == cut.n_equal)))
-    if cut.ties == cut.n_equal:
-        return first
-    tied = df.filter(equal_to(keys, cut.values))
-    rest = first.filter(~equal_to(keys, cut.values))
-    return rest.unionByName(_share_copies(tied, cut.ties, name))
+    value = F.lit(None).cast("boolean")
+    for where, test, _ in reversed(tests):
+        value = F.when(where, test).otherwise(value)
+    out = df.withColumn(name, value)
+    for where, _, cut in tests:
+        if cut is not None:
+            tied = where & equal_to(keys, cut.values)
+            out = out.filter(~tied).unionByName(_share_copies(df.filter(tied), cut.ties, name))
+    return out
+
+
+def mark_first(df: DataFrame, keys: list[str], k: int, name: str, ranges: dict[str, tuple[int, int]] = {}) -> DataFrame:
+    """Adds a boolean: is the row among the first k in the order of `keys`? Exactly k rows are."""
+    test, cut = first_k(df, keys, k, ranges)
+    return mark(df, [(F.lit(True), test, cut)], keys, name)
 
 
 def _share_copies(tied: DataFrame, k: int, name: str) -> DataFrame:

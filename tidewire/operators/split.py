@@ -25,7 +25,8 @@ def time_split(table: DataFrame, test_size: float = 0.25, row_key: list[str] | N
     key = [F.col(c).cast("string") for c in row_key or table.columns]
     ordered = table.withColumns({
         "_t": F.round(F.col("start_time") * 1e6).cast("bigint"), "_h": skew.hash60(*key)})
-    marked = skew.mark_first(ordered, ["_t", "_h"], int(n * (1.0 - test_size)), "_train")
+    ranges = {"_t": (round(low * 1e6), round(high * 1e6)), "_h": skew.HASH_RANGE}
+    marked = skew.mark_first(ordered, ["_t", "_h"], int(n * (1.0 - test_size)), "_train", ranges)
     return marked.withColumn("is_test", ~F.col("_train")).drop("_t", "_h", "_train")
 
 
@@ -48,14 +49,11 @@ def random_split(
     key = [F.col(c).cast("string") for c in row_key or table.columns]
     hashed = table.withColumn("_h", skew.hash60(F.lit(str(seed)), *key))
     counts = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}    # one row per class
-    sides = [
-        skew.mark_first(hashed.filter(F.col("label") == label), ["_h"], quota, "_train")
-        for label, quota in sorted(train_quotas(counts, test_size).items())
-    ]
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.unionByName(side)
-    return out.withColumn("is_test", ~F.col("_train")).drop("_h", "_train")
+    tests = []
+    for label, quota in sorted(train_quotas(counts, test_size).items()):
+        mine = F.col("label") == label
+        tests.append((mine, *skew.first_k(hashed.filter(mine), ["_h"], quota, {"_h": skew.HASH_RANGE})))
+    return skew.mark(hashed, tests, ["_h"], "_train").withColumn("is_test", ~F.col("_train")).drop("_h", "_train")
 
 
 def split_ranges(split: DataFrame) -> DataFrame:

@@ -114,9 +114,9 @@ fwd AS (SELECT {KEY}, flow_seq, n, regexp_extract_all(hex(payload), '..') AS l,
   coalesce(sum(octet_length(payload)) OVER (PARTITION BY {KEY}, flow_seq ORDER BY n
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM assigned WHERE is_fwd),
 sized AS (SELECT {KEY}, flow_seq, sum(len(l)) AS total FROM fwd GROUP BY ALL),
-bytes AS (SELECT {KEY}, flow_seq, off + generate_subscripts(l, 1) - 1 AS at, unnest(l) AS b FROM fwd),
+bytes AS (SELECT {KEY}, flow_seq, off + generate_subscripts(l, 1) - 1 AS place, unnest(l) AS b FROM fwd),
 hist AS (SELECT {KEY}, flow_seq, b, count(*) AS c,
-  count(CASE WHEN total <= 12 OR at >= 12 THEN 1 END) AS d FROM bytes JOIN sized USING ({KEY}, flow_seq) GROUP BY ALL),
+  count(CASE WHEN total <= 12 OR place >= 12 THEN 1 END) AS d FROM bytes JOIN sized USING ({KEY}, flow_seq) GROUP BY ALL),
 entropies AS (SELECT {KEY}, flow_seq, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS payload_entropy,
   CASE WHEN lo_port = 53 OR hi_port = 53 THEN
     log2(sum(d)) - sum(CASE WHEN d > 0 THEN d * log2(d) ELSE 0 END) / sum(d) ELSE 0 END AS dns_query_entropy
