@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions.scalar import entropy_of_counts, is_dns
-from tidewire.schemas import DNS_HEADER_BYTES, FLOW_ID, FLOW_KEY
+from tidewire.schemas import DNS_HEADER_BYTES, FLOW_ID, FLOW_KEY, fields
 
 _SLICE_BYTES = 4 << 20
 
@@ -126,7 +126,7 @@ def _count(assigned: DataFrame, ids: list[str], with_counts: bool) -> DataFrame:
     )
     extra = "head binary, counts array<bigint>" if with_counts else "payload_entropy double, dns_query_entropy double"
     schema = T.StructType(
-        [payloads.schema[c] for c in ids] + T._parse_datatype_string(extra).fields)
+        [payloads.schema[c] for c in ids] + fields(extra))
 
     def run(batches):
         return count_bytes(batches, with_counts)

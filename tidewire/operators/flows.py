@@ -17,7 +17,9 @@ from tidewire.functions.packets import flow_id, with_flow_key
 from tidewire.functions.scalar import has_flag
 from tidewire.operators import skew
 from tidewire.operators.teardown import FIN_SEEN, NOTHING_OPEN, OPEN, closings
-from tidewire.schemas import FIN, FLOW_ID, FLOW_KEY, MIN_PACKETS, TCP, TCP_IDLE_SECONDS, UDP_IDLE_SECONDS
+from tidewire.schemas import (
+    FIN, FLOW_ID, FLOW_KEY, MIN_PACKETS, TCP, TCP_IDLE_SECONDS, UDP_IDLE_SECONDS, fields,
+)
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,6 @@ def _number(packets: DataFrame, parts: list[str], teardown: bool) -> DataFrame:
     )
 
 
-_SIDE = "start_lo boolean, gap_sum bigint, gap_n bigint, lo_ts bigint, hi_ts bigint, n_rows bigint"
 
 
 def _chunk_summaries(heavy: DataFrame, rules: FlowRules) -> DataFrame:
@@ -161,7 +162,7 @@ def resolve_chunks(keyed: DataFrame, cuts: skew.Cuts, rules: FlowRules) -> Chunk
     key_fields = [keyed.schema[c] for c in FLOW_KEY]
 
     def table(rows, ddl):
-        return skew.frozen(keyed.sparkSession, rows, T.StructType(key_fields + T._parse_datatype_string(ddl).fields))
+        return skew.frozen(keyed.sparkSession, rows, T.StructType(key_fields + fields(ddl)))
 
     return Chunks(
         cuts,

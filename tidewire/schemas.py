@@ -69,3 +69,14 @@ FEATURE_TABLE = T.StructType(
     [T.StructField(name, T.FloatType()) for name in FEATURE_NAMES]
     + [T.StructField("label", T.LongType()), T.StructField("start_time", T.DoubleType())]
 )
+
+
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<bigint>": T.ArrayType(T.LongType()),
+}
+
+
+def fields(text: str) -> list[T.StructField]:
+    """`name type, name type` to fields, without a session."""
+    return [T.StructField(n, _TYPES[t]) for n, t in (part.split() for part in text.split(","))]
