@@ -137,6 +137,7 @@ def _count(assigned: DataFrame, ids: list[str], with_counts: bool) -> DataFrame:
 def payload_entropies(assigned: DataFrame, in_chunks: bool = False) -> DataFrame:
     """(flow, payload_entropy, dns_query_entropy) for flows with forward payload.
 
+    Expects each flow (each chunk of a flow) to lie in one partition, as it does after flow assignment.
     DNS entropy is taken where either port is 53, over the forward bytes after the first 12 when there are
     more than 12.
     """

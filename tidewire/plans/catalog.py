@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidewire.plans import queries_flows, queries_tables  # noqa: F401  (they register on import)
+from tidewire.plans import queries_flows, queries_models, queries_tables  # noqa: F401  (they register on import)
 from tidewire.plans.registry import QUERIES, SQL
 
 

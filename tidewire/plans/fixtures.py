@@ -214,3 +214,37 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(e % 17 == 3, "000000000000").otherwise(""),
         )).alias("frame"),
     ).withColumn("orig_len", F.octet_length("frame"))
+
+
+def write_captures(frames: DataFrame, path: str, files: int = 4) -> int:
+    """Ethernet frames as classic capture files, one per partition, written by the tasks. Returns the frames."""
+    import os
+
+    def write(batches):
+        import struct
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+        name, n = f"{path}/part-{TaskContext.get().partitionId():05d}.pcap", 0
+        with open(name, "wb") as f:
+            f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 20, 1))
+            for batch in batches:
+                for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
+                    f.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), len(frame)) + frame)
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    os.makedirs(path, exist_ok=True)
+    counts = frames.select("ts_us", "packet_seq", "frame").repartition(files, "packet_seq").mapInArrow(write, "n bigint")
+    return counts.agg(F.sum("n")).first()[0]
+
+
+def land_packets(packets: DataFrame, path: str, rules: FlowRules) -> None:
+    """Packets into a landing folder in two loads, the earlier half first, then a heartbeat behind them."""
+    from tidewire.streaming.flows import heartbeat
+    first, last = packets.agg(F.min("ts_us"), F.max("ts_us")).first()
+    middle = (first + last) // 2
+    packets.filter(F.col("ts_us") <= middle).write.mode("append").parquet(path)
+    packets.filter(F.col("ts_us") > middle).write.mode("append").parquet(path)
+    longest = max(rules.tcp_seconds, rules.udp_seconds)
+    heartbeat(packets.sparkSession, path, last + round(2 * longest * 1e6) + 60_000_000)

@@ -20,12 +20,12 @@ def closed_features(packets: DataFrame, closed: DataFrame, min_packets: int = MI
 
     A flow longer than one chunk brings its gap totals along, so its packets need not meet in one task.
     """
-    spans = F.col("chunks") > 0
     ends = closed.filter(F.col("n_packets") >= min_packets).select(
         *FLOW_ID, F.col("chunk").alias("chunks"),
         *[F.when(F.col("chunk") > 0, F.col(c)).alias(f"span_{c}") for c in ("gap_sum", "gap_n")])
-    mine = packets.join(broadcast_if_small(ends), FLOW_ID).withColumn("in_chunks", spans)
-    return features_of_assigned(mine, min_packets, in_chunks=True)
+    mine = packets.join(broadcast_if_small(ends), FLOW_ID).drop("chunks")
+    # each piece of a flow into one partition, which byte counting relies on; the windows reuse it
+    return features_of_assigned(mine.repartition(*FLOW_ID, "chunk"), min_packets, in_chunks=True)
 
 
 def score_stream(
