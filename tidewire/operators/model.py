@@ -20,6 +20,7 @@ from tidewire.operators.features import zero_features
 from tidewire.operators.labels import class_weights
 from tidewire.operators.split import random_split, time_split
 from tidewire.schemas import BUNDLE_VERSION, FEATURE_NAMES
+from tidewire.session import spread
 
 log = logging.getLogger(__name__)
 
@@ -117,7 +118,8 @@ def fit_and_evaluate(
     if zeroed:
         sides = zero_features(sides, zeroed)
         dataset = f"{dataset} [zeroed: {','.join(zeroed)}]"
-    sides = sides.select(*FEATURE_NAMES, "label", "is_test").persist()
+    # training passes over these rows once per tree level: worth one move into even partitions
+    sides = spread(sides.select(*FEATURE_NAMES, "label", "is_test")).persist()
     try:
         trained = train(sides.filter(~F.col("is_test")), estimator, dataset)
         return trained, evaluate(trained, sides.filter("is_test"))

@@ -160,8 +160,18 @@ def order_threshold(
     """
     if k <= 0:
         return None
-    at, left, inside, n = [], k, df.select(*keys), None
-    for i, key in enumerate(keys):
+    # the rounds share the few bytes per row they need, so what makes the rows runs once
+    kept = df if df.is_cached else df.select(*keys).persist()
+    try:
+        return _zoom(kept.select(*keys), keys, k, ranges, bins, few)
+    finally:
+        if kept is not df:
+            kept.unpersist()
+
+
+def _zoom(inside: DataFrame, keys: list[str], k: int, ranges: dict, bins: int, few: int) -> Threshold | None:
+    at, left, n = [], k, None
+    for key in keys:
         low, high = ranges.get(key) or inside.agg(F.min(key), F.max(key)).first()
         if low is None:
             return None

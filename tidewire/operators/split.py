@@ -18,15 +18,20 @@ def time_split(table: DataFrame, test_size: float = 0.25, row_key: list[str] | N
 
     Equal times are told apart by md5 of the row key. Without distinct times it falls back to a random split.
     """
-    low, high, n = table.agg(F.min("start_time"), F.max("start_time"), F.count(F.lit(1))).first()
-    if low == high:
-        log.warning("start_time does not vary; using the stratified random split")
-        return random_split(table, test_size, row_key=row_key)
     key = [F.col(c).cast("string") for c in row_key or table.columns]
     ordered = table.withColumns({
         "_t": F.round(F.col("start_time") * 1e6).cast("bigint"), "_h": skew.hash60(*key)})
-    ranges = {"_t": (round(low * 1e6), round(high * 1e6)), "_h": skew.HASH_RANGE}
-    marked = skew.mark_first(ordered, ["_t", "_h"], int(n * (1.0 - test_size)), "_train", ranges)
+    places = ordered.select("_t", "_h").persist()
+    try:
+        low, high, n = places.agg(F.min("_t"), F.max("_t"), F.count(F.lit(1))).first()
+        if low == high:
+            log.warning("start_time does not vary; using the stratified random split")
+            return random_split(table, test_size, row_key=row_key)
+        ranges = {"_t": (low, high), "_h": skew.HASH_RANGE}
+        test, cut = skew.first_k(places, ["_t", "_h"], int(n * (1.0 - test_size)), ranges)
+    finally:
+        places.unpersist()
+    marked = skew.mark(ordered, [(F.lit(True), test, cut)], ["_t", "_h"], "_train")
     return marked.withColumn("is_test", ~F.col("_train")).drop("_t", "_h", "_train")
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -37,7 +37,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # the JVM never compiles methods above 8000 bytes; wide projections are faster split up than fused
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # no call-site capture per Column call: building wide plans gets several times faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for work that costs far more per row than moving the row (tree training, attributions)."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
