@@ -38,12 +38,13 @@ def scenario_counts(table: DataFrame) -> DataFrame:
 
 
 def class_weights(table: DataFrame) -> DataFrame:
-    """Per class n / (classes * n_class), and benign / c2 for boosted trees; two rows at most."""
-    return table.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).join(
-        table.agg(
-            F.count(F.lit(1)).alias("n_all"),
-            (F.max("label") - F.min("label") + 1).alias("n_classes"),
-            F.try_divide(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("pos_weight"),
-        ).hint("broadcast"), how="inner",      # one row
-    ).select(
-        "label", "n_rows", (F.col("n_all") / (F.col("n_classes") * F.col("n_rows"))).alias("weight"), "pos_weight")
+    """Per class n / (classes * n_class), and benign / c2 for boosted trees; from one pass, a row per class present."""
+    n = [F.col("n0"), F.col("n1")]
+    classes = sum((F.when(c > 0, 1).otherwise(0) for c in n), F.lit(0))
+    counts = table.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    rows = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("label"), c.alias("n_rows"),
+                 F.try_divide(n[0] + n[1], classes * c).alias("weight"), F.try_divide(n[0], n[1]).alias("pos_weight"))
+        for i, c in enumerate(n)
+    ])
+    return counts.select(F.inline(rows)).filter("n_rows > 0")

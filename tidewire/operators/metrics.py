@@ -9,6 +9,7 @@ from tidewire.functions.scalar import ratio_or
 from tidewire.operators import skew
 
 METRICS = ["precision", "recall", "f1", "fpr", "fnr", "pr_auc", "balanced_accuracy", "mcc", "roc_auc"]
+COUNTS = ["tn", "fp", "fn", "tp"]
 
 
 def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -23,21 +24,23 @@ def _zero(a: Column, b: Column) -> Column:
     return ratio_or(a, b, 0.0)
 
 
-def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row from the four counts; every ratio is 0 where its denominator is."""
-    counts = confusion(scored, threshold)
-    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+def _rates() -> list[Column]:
+    """The threshold metrics from columns tn, fp, fn, tp; every ratio is 0 where its denominator is."""
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in COUNTS)
     # balanced accuracy averages the recalls of the classes that occur
     recalls = F.when(tp + fn == 0, _zero(tn, tn + fp)).when(tn + fp == 0, _zero(tp, tp + fn)).otherwise(
         (_zero(tp, tp + fn) + _zero(tn, tn + fp)) / 2)
     root = F.sqrt((tp + fp) * (tp + fn)) * F.sqrt((tn + fp) * (tn + fn))
-    return counts.select(
-        "tn", "fp", "fn", "tp",
+    return [
         _zero(tp, tp + fp).alias("precision"), _zero(tp, tp + fn).alias("recall"),
         _zero(2 * tp, 2 * tp + fp + fn).alias("f1"),
         _zero(fp, fp + tn).alias("fpr"), _zero(fn, fn + tp).alias("fnr"),
         recalls.alias("balanced_accuracy"), _zero(tp * tn - fp * fn, root).alias("mcc"),
-    )
+    ]
+
+
+def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    return confusion(scored, threshold).select(*COUNTS, *_rates())
 
 
 def score_groups(scored: DataFrame) -> DataFrame:
@@ -53,7 +56,6 @@ def score_curve(scored: DataFrame, bins: int = 1024, small: int = skew.SMALL_ROW
     carry over, and a window inside each bin does the rest. A short score list needs one bin only.
     """
     groups = score_groups(scored)
-    total = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))        # one row
     if skew.is_small(groups, small):
         binned = groups.withColumn("bin", F.lit(0))
     else:
@@ -62,30 +64,32 @@ def score_curve(scored: DataFrame, bins: int = 1024, small: int = skew.SMALL_ROW
         binned = groups.withColumn("bin", place)
     per_bin = binned.groupBy("bin").agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg"))
     higher = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
     carried = per_bin.select(                                                    # at most `bins` rows
         "bin", F.coalesce(F.sum("bin_pos").over(higher), F.lit(0)).alias("above_pos"),
-        F.coalesce(F.sum("bin_neg").over(higher), F.lit(0)).alias("above_neg"))
+        F.coalesce(F.sum("bin_neg").over(higher), F.lit(0)).alias("above_neg"),
+        F.sum("bin_pos").over(every).alias("p"), F.sum("bin_neg").over(every).alias("n"))
     inside = Window.partitionBy("bin").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
         binned.withColumns({"run_pos": F.sum("pos").over(inside), "run_neg": F.sum("neg").over(inside)})
         .join(F.broadcast(carried), "bin")
-        .join(F.broadcast(total), how="inner")
         .select("score", "pos", "neg", (F.col("run_pos") + F.col("above_pos")).alias("tp"),
                 (F.col("run_neg") + F.col("above_neg")).alias("fp"), "p", "n")
     )
 
 
-def ranking_metrics(scored: DataFrame) -> DataFrame:
-    """Average precision and ROC-AUC, ties counted half; both 0 when a class is missing."""
+def _ranking() -> list[Column]:
+    """Average precision and ROC-AUC (ties counted half) as aggregates over the curve; 0 when a class is missing."""
     pos, neg, tp, fp, p, n = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp", "p", "n"))
-    steps = score_curve(scored).select(
-        _zero(pos * tp, p * (tp + fp)).alias("ap"), _zero(neg * (tp - pos / 2), p * n).alias("auc"),
-        ((p > 0) & (n > 0)).alias("both"))
-    both = F.max("both")
-    return steps.agg(
-        F.when(both, F.sum("ap")).otherwise(0.0).alias("pr_auc"),
-        F.when(both, F.sum("auc")).otherwise(0.0).alias("roc_auc"),
-    )
+    both = F.coalesce(F.max((p > 0) & (n > 0)), F.lit(False))
+    return [
+        F.when(both, F.sum(_zero(pos * tp, p * (tp + fp)))).otherwise(0.0).alias("pr_auc"),
+        F.when(both, F.sum(_zero(neg * (tp - pos / 2), p * n))).otherwise(0.0).alias("roc_auc"),
+    ]
+
+
+def ranking_metrics(scored: DataFrame) -> DataFrame:
+    return score_curve(scored).agg(*_ranking())
 
 
 def per_class_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -112,9 +116,16 @@ def per_class_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The nine metrics and the four counts in one row."""
-    return classification_metrics(scored, threshold).join(
-        F.broadcast(ranking_metrics(scored)), how="inner").select("tn", "fp", "fn", "tp", *METRICS)   # one row each
+    """The nine metrics and the four counts in one row, all from the counts per distinct score."""
+    hit = F.col("score") >= threshold
+
+    def rows(side, test):
+        return F.coalesce(F.sum(F.when(test, F.col(side))), F.lit(0)).cast("bigint")
+
+    sums = score_curve(scored).agg(
+        rows("neg", ~hit).alias("tn"), rows("neg", hit).alias("fp"), rows("pos", ~hit).alias("fn"),
+        rows("pos", hit).alias("tp"), *_ranking())
+    return sums.select(*COUNTS, *_rates(), "pr_auc", "roc_auc").select(*COUNTS, *METRICS)
 
 
 def cross_dataset_eval(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

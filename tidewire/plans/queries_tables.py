@@ -447,11 +447,11 @@ def cross_dataset_eval(spark, sf_dir):
     return M.cross_dataset_eval(X.scored_lines(spark, sf_dir)).withColumn("flagged_rate", fx(F.col("flagged_rate")))
 
 
-@query("fail_gate", f"WITH {SC} SELECT max(proba_c2) >= 0.95 AS failed, max(proba_c2) >= 1.1 AS failed_high FROM scored")
+@query("fail_gate", f"WITH {SC}, m AS (SELECT max(proba_c2) AS p FROM scored) SELECT 'low' AS gate, p >= 0.95 AS failed FROM m UNION ALL SELECT 'high', p >= 1.1 FROM m")
 def fail_gate(spark, sf_dir):
     scored = X.scored_lines(spark, sf_dir)
-    high = M.fail_gate(scored, 1.1).withColumnRenamed("failed", "failed_high")
-    return M.fail_gate(scored, 0.95).join(F.broadcast(high), how="inner")       # one row each
+    low, high = (M.fail_gate(scored, limit).select(F.lit(name).alias("gate"), "failed") for name, limit in (("low", 0.95), ("high", 1.1)))
+    return low.unionByName(high)
 
 
 @query("predict_label", f"""WITH {SC} SELECT row_id, CASE WHEN proba_c2 >= 0.5 THEN 'c2' ELSE 'benign' END AS label,
