@@ -43,7 +43,7 @@ DECODED = f"""WITH {PK}, framed AS (SELECT *, {FRAME_KIND} AS kind, octet_length
   CASE protocol WHEN 6 THEN 20 ELSE 8 END AS l4 FROM packets),
 decoded AS (SELECT packet_seq, ts_us, CASE kind WHEN 'v6' THEN {_v6('src_ip')} ELSE src_ip END AS src_ip,
   CASE kind WHEN 'v6' THEN {_v6('dst_ip')} ELSE dst_ip END AS dst_ip, src_port, dst_port, protocol,
-  CASE kind WHEN 'v6' THEN 40 ELSE 20 END + l4 + size AS length, size AS payload_len, tcp_flags, hex(payload) AS payload_hex
+  CAST(CASE kind WHEN 'v6' THEN 40 ELSE 20 END + l4 + size AS INTEGER) AS length, CAST(size AS INTEGER) AS payload_len, tcp_flags, hex(payload) AS payload_hex
   FROM framed WHERE kind IN ('v4', 'v6'))"""
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,16 +15,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_temporary_root: str | None = None
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path for a written table, under the cluster's shared `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests, one machine) is a temporary folder named instead.
+    Only where the session has no such setting (tests, one machine) is a temporary folder used instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    global _temporary_root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        _temporary_root = _temporary_root or tempfile.mkdtemp(prefix="tidewire-")
+        root = _temporary_root
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidewire") -> SparkSession:
