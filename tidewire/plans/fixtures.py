@@ -218,7 +218,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_captures(frames: DataFrame, path: str, files: int = 4) -> int:
     """Ethernet frames as classic capture files, one per partition, written by the tasks. Returns the frames."""
-    import os
+    from tidewire.sources.capture import file_system
 
     def write(batches):
         import struct
@@ -226,7 +226,8 @@ def write_captures(frames: DataFrame, path: str, files: int = 4) -> int:
         import pyarrow as pa
         from pyspark import TaskContext
         name, n = f"{path}/part-{TaskContext.get().partitionId():05d}.pcap", 0
-        with open(name, "wb") as f:
+        system, inner = file_system(name)
+        with system.open_output_stream(inner) as f:
             f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 20, 1))
             for batch in batches:
                 for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
@@ -234,7 +235,8 @@ def write_captures(frames: DataFrame, path: str, files: int = 4) -> int:
                     n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    os.makedirs(path, exist_ok=True)
+    system, inner = file_system(path)
+    system.create_dir(inner, recursive=True)
     counts = frames.select("ts_us", "packet_seq", "frame").repartition(files, "packet_seq").mapInArrow(write, "n bigint")
     return counts.agg(F.sum("n")).first()[0]
 

@@ -31,15 +31,19 @@ NG_BYTE_ORDER = 0x1A2B3C4D
 OPT_TSRESOL, OPT_TSOFFSET = 9, 14
 
 
-def open_file(path: str):
-    """A seekable reader for a local path or any URI that Arrow's file systems know."""
+def file_system(path: str):
+    """(Arrow file system, path in it) for a local path or any URI that Arrow knows."""
     from pyarrow import fs
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def open_file(path: str):
+    """A seekable reader."""
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 
