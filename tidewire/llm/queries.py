@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontaminate, tokens
+from tidewire.llm import decontaminate, quality_rules, tokens
 from tidewire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,46 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def _op7_sql() -> str:
+    rules, features = quality_rules.Rules(), quality_rules.FEATURES
+    step = {f.name: f"CASE WHEN {f.below} > 0 THEN ({f.above} * {f.steps}) // {f.below} ELSE 0 END" for f in features}
+    values = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS feature, {s} AS bin FROM c WHERE NOT base_failed" for n, s in step.items())
+    slack = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {f.slack}" for f in features) + " END"
+    inside = " AND ".join(f"coalesce({step[f.name]} <= max(CASE WHEN feature = '{f.name}' THEN high END), TRUE)" + (
+        f" AND coalesce({step[f.name]} >= max(CASE WHEN feature = '{f.name}' THEN low END), TRUE)" if f.two_sided else "") for f in features)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+r AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 3)) AS p
+      FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1) GROUP BY row),
+c0 AS (SELECT row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      coalesce(n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+      CAST(len(regexp_extract_all(t, '\p{{Lu}}')) AS BIGINT) AS n_upper FROM w LEFT JOIN r USING (row)),
+c AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM c0),
+v AS ({values}),
+s AS (SELECT 0 AS level, lang, source, feature, bin, count(*) AS n FROM v GROUP BY ALL UNION ALL
+      SELECT 1, lang, '', feature, bin, count(*) FROM v GROUP BY ALL UNION ALL SELECT 2, '', '', feature, bin, count(*) FROM v GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total,
+             sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bin) AS upto FROM s),
+q AS (SELECT level, lang, source, feature, any_value(total) AS total, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1,
+             min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3 FROM u GROUP BY level, lang, source, feature),
+f AS (SELECT *, q1 - ({rules.fence} * (q3 - q1) + {slack}) AS low, q3 + {rules.fence} * (q3 - q1) + {slack} AS high
+      FROM q WHERE total >= {rules.min_group} OR level = 2),
+p AS (SELECT row, min(level) AS level FROM c JOIN f ON level = 2 OR f.lang = c.lang AND (level = 1 OR f.source = c.source) GROUP BY row),
+k AS (SELECT c.*, {inside} AS inside FROM c LEFT JOIN p USING (row) LEFT JOIN f ON f.level = p.level AND (p.level = 2 OR f.lang = c.lang)
+      AND (p.level > 0 OR f.source = c.source) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM k"""
+
+
+@query("op7_quality_rules", _op7_sql())
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
