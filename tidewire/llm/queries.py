@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontaminate, quality_rules, tokens
+from tidewire.llm import decontaminate, html_extract, quality_rules, tokens
 from tidewire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +55,8 @@ def _op7_sql() -> str:
     step = {f.name: f"CASE WHEN {f.below} > 0 THEN ({f.above} * {f.steps}) // {f.below} ELSE 0 END" for f in features}
     values = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS feature, {s} AS bin FROM c WHERE NOT base_failed" for n, s in step.items())
     slack = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {f.slack}" for f in features) + " END"
-    inside = " AND ".join(f"coalesce({step[f.name]} <= max(CASE WHEN feature = '{f.name}' THEN high END), TRUE)" + (
-        f" AND coalesce({step[f.name]} >= max(CASE WHEN feature = '{f.name}' THEN low END), TRUE)" if f.two_sided else "") for f in features)
+    inside = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {step[f.name]} <= high" + (
+        f" AND {step[f.name]} >= low" if f.two_sided else "") for f in features) + " END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   coalesce(text, '') AS t FROM documents),
@@ -80,9 +80,10 @@ q AS (SELECT level, lang, source, feature, any_value(total) AS total, min(CASE W
 f AS (SELECT *, q1 - ({rules.fence} * (q3 - q1) + {slack}) AS low, q3 + {rules.fence} * (q3 - q1) + {slack} AS high
       FROM q WHERE total >= {rules.min_group} OR level = 2),
 p AS (SELECT row, min(level) AS level FROM c JOIN f ON level = 2 OR f.lang = c.lang AND (level = 1 OR f.source = c.source) GROUP BY row),
-k AS (SELECT c.*, {inside} AS inside FROM c LEFT JOIN p USING (row) LEFT JOIN f ON f.level = p.level AND (p.level = 2 OR f.lang = c.lang)
-      AND (p.level > 0 OR f.source = c.source) GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM k"""
+k AS (SELECT row, bool_and({inside}) AS inside FROM c JOIN p USING (row) JOIN f ON f.level = p.level AND (p.level = 2 OR f.lang = c.lang)
+      AND (p.level > 0 OR f.source = c.source) GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, TRUE) AS kept
+FROM c LEFT JOIN k USING (row)"""
 
 
 @query("op7_quality_rules", _op7_sql())
@@ -90,6 +91,11 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op9_html_extract")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
