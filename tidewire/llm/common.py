@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.session import scratch_dir
+
 #: Rows turned into Python objects at a time; bounds a task's memory whatever the Arrow batch holds.
 ROWS_AT_ONCE = 256
 #: Characters handled at a time; a longer text is a slice of its own.
@@ -36,3 +38,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the cluster's shared folder and read again: worked out once, and safe from lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
