@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import bind
+from tidewire.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -128,6 +129,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id",
                                  F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_")), "text_", ["key_", "lang_", "source_"])
     counted = counted.withColumn("base_failed", F.expr(
         f"n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words"))
+    counted = stored(counted, "quality-counts")          # the sketches and the verdicts read it: texts are gone through once
     inside = F.lit(True)
     for f in FEATURES:
         inside = inside & (step(f) <= F.col(f"high_{f.name}"))
