@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewire.session import scratch_dir
 
@@ -45,3 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def held(df: DataFrame, *own: Column) -> DataFrame:
+    """The columns under numbers (in0_, in1_, ...), so that no name of theirs can clash with an operator's own columns."""
+    return df.select(*[F.col(f"`{c}`").alias(f"in{i}_") for i, c in enumerate(df.columns)], *own)
+
+
+def released(names: list[str], replaced: dict[str, Column] | None = None) -> list[Column]:
+    """The select list that gives numbered columns their names back, with new values for some."""
+    return [(replaced or {}).get(c, F.col(f"in{i}_")).alias(c) for i, c in enumerate(names)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import bind
+from tidewire.llm.common import held, released
 
 #: What lies between words: ASCII characters other than digits and letters (upper-case letters are lowered before).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,17 +106,17 @@ def remove_documents(docs: DataFrame, items: DataFrame, size: int = 10, text: st
     tests = TestSet(items, size, "item_id" if "item_id" in items.columns else item_text, item_text, most)
     if not tests.lengths:
         return docs
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    row = held(docs, F.col(f"`{text}`").alias("text"))
+    keep = row.columns[:-1]
     if tests.hashes is None:
         # the row's own number is not repeatable over two reads: carry the row through the join
-        clean = (tests.hits(row, ["doc"]).groupBy("row").agg(F.max(F.col("l").isNotNull()).alias("bad"), F.first("doc").alias("doc"))
-                 .where(~F.col("bad")))
-        return clean.select("doc.*")
+        clean = tests.hits(row, keep).groupBy("row").agg(F.max(F.col("l").isNotNull()).alias("bad"), *[F.first(c).alias(c) for c in keep])
+        return clean.where(~F.col("bad")).select(*released(out))
     texts = [r.w for r in tests.windows.select("w").distinct().collect()]
     known = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in texts)
     worded = bind(row, {"words": words_of(F.col("text"))})
     found = bind(worded, {"hits": hits_in_row(tests.lengths, tests.hashes)})
-    return found.where(~F.expr(f"exists(hits, x -> x.w IN ({known}))")).select("doc.*")
+    return found.where(~F.expr(f"exists(hits, x -> x.w IN ({known}))")).select(*released(out))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", item_text: str = "text") -> DataFrame:
@@ -124,9 +125,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
     tests = TestSet(items, size, "item_id" if "item_id" in items.columns else item_text, item_text)
     if not tests.lengths:
         return docs
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    hit = (tests.hits(row, ["doc", "text"]).groupBy("row").agg(
-        F.first("doc").alias("doc"), F.first("text").alias("text"),
+    row = held(docs, F.col(f"`{text}`").cast("string").alias("text"))
+    hit = (tests.hits(row, row.columns).groupBy("row").agg(
+        *[F.first(c).alias(c) for c in row.columns],
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("l").isNotNull(), F.sequence(F.col("p") - 1, F.col("p") + F.col("l") - 2)))))
         .alias("gone")))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -135,5 +136,4 @@ def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
         F.array_join(F.zip_with(F.slice("gaps", 1, F.size("kept")), F.transform("kept", lambda w, i: F.when(
             F.array_contains("gone", i), F.lit("")).otherwise(w)), lambda g, w: F.concat(g, w)), ""),
         F.element_at("gaps", -1)))
-    fixed = parts.select("doc", cut.alias("cut"))
-    return fixed.select(*[F.col("cut").alias(c) if c == text else F.col("doc")[c].alias(c) for c in out])
+    return parts.select(*released(out, {text: cut}))
