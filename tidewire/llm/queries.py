@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontaminate, html_extract, line_dedup, personal_data, quality_rules, tokens
+from tidewire.llm import decontaminate, html_extract, jaccard_join, line_dedup, personal_data, quality_rules, tokens
 from tidewire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).withColumnsRenamed({"n_chunks_": "n_chunks", "n_removed_": "n_removed"})
 
 
+@query("op4_jaccard_join")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
