@@ -135,6 +135,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id",
         inside = inside & (step(f) <= F.col(f"high_{f.name}"))
         if f.two_sided:
             inside = inside & (step(f) >= F.col(f"low_{f.name}"))
-    return counted.join(fences(counted, rules), ["lang_", "source_"], "left").select(
+    return counted.join(stored(fences(counted, rules), "fences"), ["lang_", "source_"], "left").select(
         F.col("key_").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
