@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, html_extract, jaccard_join, line_dedup, packing, personal_data, quality_rules, tokens
+from tidewire.llm import decontaminate, html_extract, jaccard_join, licenses, line_dedup, packing, personal_data, quality_model, quality_rules, tokens
 from tidewire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,12 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).withColumnsRenamed({"n_chunks_": "n_chunks", "n_removed_": "n_removed"})
 
 
+@query("op3_quality_model")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("weak_score_").alias("weak_score"), F.col("score_").alias("score"), F.col("kept_").alias("kept"))
+
+
 @query("op4_jaccard_join")
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -97,6 +104,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM c LEFT JOIN k USING (row)"""
 
 
+@query("op6_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality_rules", _op7_sql())
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
