@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import partitions, slices, stored
+from tidewire.llm.common import held, partitions, released, slices, stored
 from tidewire.llm.components import components, pointer_roots
 from tidewire.llm.shingles import mix, set_id, shingle_set
 
@@ -257,14 +257,8 @@ def other_candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
     return counted.where((F.col("band") == band) & enough).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the smallest key among all rows reached by links, itself included.
-
-    Rows link when their sets of 5-word shingles (lower-cased A-Z, split at ASCII white space; fewer words are one shingle)
-    have J >= 3/4. A null text, or one without words, has an empty set and is linked with nothing: its component is its own
-    key. Null keys are passed over by the minimum; a component of null keys only has a null id. Rows that share a key are
-    judged by their own texts. Other columns are not read.
-    """
+def named_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's set (key, mark, n, cls), and of every class its component: (cls, root, component_id)."""
     parts = partitions(docs.sparkSession)
     sets = stored(set_table(docs, key, text), "sets")
     classes = stored(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.min("mark").alias("mark")), "classes")
@@ -283,6 +277,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
              .join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")))
     final = final.select("cls", "root", "least")
     lowest = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(final.join(lowest, "root").select("cls", "component_id"), "components")
+    return sets, stored(final.join(lowest, "root").select("cls", "root", "component_id"), "components")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the smallest key among all rows reached by links, itself included.
+
+    Rows link when their sets of 5-word shingles (lower-cased A-Z, split at ASCII white space; fewer words are one shingle)
+    have J >= 3/4. A null text, or one without words, has an empty set and is linked with nothing: its component is its own
+    key. Null keys are passed over by the minimum; a component of null keys only has a null id. Rows that share a key are
+    judged by their own texts. Other columns are not read.
+    """
+    sets, named = named_classes(docs, key, text)
     return sets.join(named, "cls", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one of each component does.
+
+    The row of the smallest key stays (null keys last; of rows that share a key, the one whose text has the smaller hash; of
+    fully equal rows, one). Rows without words are linked with nothing and all stay.
+    """
+    sets, named = named_classes(docs, key, text)
+    whole = sets.where("cls IS NOT NULL").join(named.select("cls", "root"), "cls")
+    picked = whole.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("m")).select("m.key", "m.mark")
+    same = sets.join(picked.select(F.col("mark").alias("mark2"), F.col("key").alias("key2")),
+                     (F.col("mark") == F.col("mark2")) & F.col("key").eqNullSafe(F.col("key2"))).groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n"))
+    same = stored(same.withColumnsRenamed({"key": "key2_", "mark": "mark2_"}), "kept")
+    rows = held(docs, F.col(f"`{key}`").alias("key_"), F.xxhash64(f"`{text}`").alias("mark_"), F.col(f"`{text}`").cast("string").alias("text_"))
+    kept = rows.where(F.col("text_").rlike(r"[^\x20\x09-\x0D]")).join(same, (F.col("mark_") == F.col("mark2_")) & F.col("key_").eqNullSafe(F.col("key2_")), "left_semi")
+    if not same.where("n > 1").isEmpty():                # only then can a row be there twice
+        kept = kept.dropDuplicates(["key_", "mark_"])
+    wordless = rows.where(~F.coalesce(F.col("text_").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.union(wordless).select(*released(docs.columns))
