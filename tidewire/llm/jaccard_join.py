@@ -6,12 +6,13 @@ signature of one of them. Small sets take half as many segments and also file ea
 neighbours, which finds segments that differ in one element: at least m - h/2 of them. Where that is cheaper is decided
 by the number and the length of the signatures (`bands`).
 
-m is a quarter larger than need be, so a set can do without its costliest segments: the empty ones and those that very many
-sets share. They are left out unless a set has too many of them. A pair must meet in as many segments as the bound says,
-less those left out, or it is no candidate; candidates are verified on the whole texts.
+m is a quarter larger than need be, so a pair meets several times: at least m - h less the segments empty in both. A set
+can therefore do without as many of its segments, less one, and spends this allowance on the costliest, those that most
+other sets share; who meets less often than that bound is no candidate at all. Candidates are verified on whole texts.
 
-Copies (equal sets) are one class from the start. Classes first link to the class they meet most often, one comparison
-each; after that only classes of different components are compared, so large groups of near copies never expand into pairs.
+Copies (equal sets) are one class from the start. Every class first compares itself with one other, of those it meets the
+one with most meetings in all (of a group of near copies, the one they stem from); after that only classes of different
+components are compared, so large groups of near copies never expand into pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import held, partitions, released, slices, stored
@@ -29,8 +30,8 @@ from tidewire.llm.shingles import mix, set_id, shingle_set
 
 #: Sets of at most this difference file one-deletion neighbours.
 SHORT = 18
-#: A signature that more classes share is costly, and left out where possible.
-COSTLY = 64
+#: Bits that stand for a set where very many are compared; members of a bucket compared in one task.
+PARITIES, BLOCK = 2048, 1024
 #: Ids looked up by broadcast; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Signatures a task gathers before it hands them on.
@@ -42,8 +43,8 @@ def bands(largest: int = 1 << 40) -> list[tuple[int, int, int]]:
     found, h = [], 1
     while h < largest:
         v = 2 if h <= SHORT else 1
-        found.append((h, -(-5 * (h + 1) // (4 * v)), v))
-        h = h + 1 if h < 4 else -(-3 * h // 2)
+        found.append((h, -(-8 * (h + 1) // (5 * v)), v))
+        h = h + 1 if h < 3 else 2 * h
     return found
 
 
@@ -74,8 +75,17 @@ def signatures(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     return found, m - len(start)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    count = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(count & 1).tobytes()
+
+
 def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, mark, n, cls): the size and class of every row's set; mark is a hash of the text. Empty sets have no class."""
+    """(key, mark, n, cls, bits): the size and class of every row's set; mark is a hash of the text. Empty sets have no class.
+
+    bits holds 2048 parities: bit b says whether the set has an odd number of elements that hash to b. Two sets differ in at
+    least as many elements as their parities do.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +93,11 @@ def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
             sets = [shingle_set(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["key", "mark", "n", "cls"])
+                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(parities, sets), pa.binary())],
+                ["key", "mark", "n", "cls", "bits"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(
-        run, f"key {kind}, mark long, n long, cls long")
+        run, f"key {kind}, mark long, n long, cls long, bits binary")
 
 
 def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
@@ -137,13 +148,13 @@ def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
 
 def meetings(packed: DataFrame, parts: int) -> DataFrame:
-    """(bucket, weight, shared, band, cls, n, empty, center, center_n): who meets under one signature.
+    """(bucket, weight, shared, band, cls, n, empty): who meets under one signature.
 
     One row per class and list of classes; a list that occurs under several signatures of a part is kept once, with their
-    number as weight. `shared` is the length of the list, the centre its smallest class.
+    number as weight. `shared` is the length of the list.
     """
     entry = np.dtype([("cls", "<i8"), ("n", "<u4"), ("empty", "<u4"), ("band", "u1")])
-    schema = "bucket long, weight int, shared int, band int, cls long, n long, empty int, center long, center_n long"
+    schema = "bucket long, weight int, shared int, band int, cls long, n long, empty int"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def find(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +189,10 @@ def meetings(packed: DataFrame, parts: int) -> DataFrame:
             p, w = pick[a:a + 50_000], weight[a:a + 50_000]
             at = np.repeat(begin[p] - np.concatenate([[0], np.cumsum(size[p])[:-1]]), size[p]) + np.arange(size[p].sum())
             who = table[member[at]]
-            center = table[member[begin[p]]]                     # entries are sorted by class
             bucket = sig[start[p]].astype(np.int64) | part << 40
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
                 np.repeat(bucket, size[p]), np.repeat(w, size[p]).astype(np.int32), np.repeat(size[p], size[p]).astype(np.int32),
-                who["band"].astype(np.int32), who["cls"], who["n"].astype(np.int64), who["empty"].astype(np.int32),
-                np.repeat(center["cls"], size[p]), np.repeat(center["n"], size[p]).astype(np.int64))], names)
+                who["band"].astype(np.int32), who["cls"], who["n"].astype(np.int64), who["empty"].astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
@@ -232,43 +241,100 @@ def at_band(band: str, what: int) -> Column:
     return F.element_at(F.array(*[F.lit(b[what]) for b in BANDS]), F.col(band) + 1)
 
 
-def other_candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
+def first_candidates(met: DataFrame) -> DataFrame:
+    """One pair (a, b) for each class b: with the class it meets most often among the hubs of its buckets.
+
+    The hub of a bucket is its member with most meetings in all its buckets. Pairs run from hubs of more meetings to
+    classes of fewer, so they cannot come back in a circle.
+    """
+    degree = stored(met.groupBy("cls").agg(F.sum(F.col("weight").cast("long") * F.col("shared")).alias("degree"), F.max("n").alias("n")), "degrees")
+    ranked = met.join(degree.select("cls", "degree"), "cls")
+    hub = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "n")).alias("hub")), "hubs")
+    pair = met.join(hub, "bucket").where("cls <> hub.cls AND 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    votes = pair.groupBy("cls", "n", "empty", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_hub"), "band").agg(F.sum("weight").alias("w"))
+    enough = at_band("band", 1) - F.floor((F.col("n") + F.col("n_hub")) / 7 / at_band("band", 2)) - F.col("empty")
+    votes = votes.where((F.col("w") >= enough) & (F.col("band") == band_of("n", "n_hub")))
+    return votes.groupBy("cls").agg(F.max(F.struct("w", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("cls").alias("b"))
+
+
+def band_of(n: str, other: str) -> Column:
+    """The band of two sets by their sizes."""
+    h = F.floor((F.col(n) + F.col(other)) / 7)
+    return F.size(F.filter(F.array(*[F.lit(b[0]) for b in BANDS]), lambda top: top < h))
+
+
+def other_candidates(met: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes in different components that meet often enough to be links."""
     rooted = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rooted = stored(rooted.select("bucket", "weight", "shared", "band", "cls", "n", "empty", "root"), "meetings")
+    rooted = stored(rooted, "meetings")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
     rows = rooted.join(mixed, "bucket", "left_semi")
-    costly = F.col("shared") > COSTLY
-    lost = rows.groupBy("cls", "band", "n", "empty").agg(F.sum(F.when(costly, F.col("weight")).otherwise(0)).alias("costly"))
+    # a pair meets at least so often, so each class can pass over its most crowded meetings but for that many
     most = F.least(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7), at_band("band", 0))
-    lost = lost.select("cls", "band", (F.col("empty") + F.col("costly")).alias("lost"),
-                       (at_band("band", 1) - F.floor(most / at_band("band", 2)) - F.col("empty") - F.col("costly") <= 0).alias("bare"))
-    rows = stored(rows.join(lost, ["cls", "band"]).where(~costly | F.col("bare")), "mixed")
-    x = rows.select("bucket", "weight", costly.alias("costly"), "band", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "empty", "root", "lost", "bare")])
-    y = rows.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "empty", "root", "lost", "bare")])
-    pairs = x.join(y, "bucket").where("cls_x < cls_y AND root_x <> root_y AND 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
-    counted = pairs.groupBy("cls_x", "cls_y", "band", "n_x", "n_y", (F.col("bare_x") & F.col("bare_y")).alias("bare"),
-                            F.least("empty_x", "empty_y").alias("empty"), F.least("lost_x", "lost_y").alias("lost")).agg(
-        F.sum("weight").alias("all"), F.sum(F.when(~F.col("costly"), F.col("weight")).otherwise(0)).alias("cheap"))
-    h = F.floor((F.col("n_x") + F.col("n_y")) / 7)
-    band = F.size(F.filter(F.array(*[F.lit(b[0]) for b in BANDS]), lambda t: t < h))
-    least = at_band("band", 1) - F.floor(h / at_band("band", 2))
-    enough = F.when(F.col("bare"), F.col("all") >= least - F.col("empty")).otherwise(F.col("cheap") >= least - F.col("lost"))
-    return counted.where((F.col("band") == band) & enough).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    least = F.greatest(at_band("band", 1) - F.floor(most / at_band("band", 2)) - F.col("empty"), F.lit(1))
+    crowded = Window.partitionBy("cls", "band").orderBy(F.desc("shared"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("from_here", F.sum("weight").over(crowded)).where(F.col("from_here") >= least)
+    blocks = F.ceil(F.col("shared") / BLOCK).cast("int")
+    rows = rows.select("bucket", "band", "cls", "n", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
+    rows = rows.join(classes.select("cls", "bits"), "cls")
+    sent = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "cls", "n", "root", "bits")
+    parts = partitions(met.sparkSession)
+    return sent.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compared, "a long, b long").distinct()
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within each bucket (or two blocks of it) whose sizes, band and parities allow a link."""
+    found: set[tuple[int, int]] = set()
+
+    def close(rows: list[tuple]) -> None:
+        if len(rows) < 2:
+            return
+        own, band, cls, n, root = (np.array(c, np.int64) for c in zip(*(r[:5] for r in rows)))
+        bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+        one = own == own.min()
+        for x in range(len(rows)):
+            far = np.s_[x + 1:]
+            both = n[x] + n[far]
+            h = both // 7
+            fits = (root[far] != root[x]) & (7 * np.minimum(n[x], n[far]) * 4 >= 21 * np.maximum(n[x], n[far])) & (np.searchsorted(TOPS, h) == band[x])
+            if not one.all():
+                fits &= one[far] != one[x]
+            y = np.flatnonzero(fits) + x + 1
+            if len(y):
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1)
+                for z in y[apart <= h[y - x - 1]]:
+                    found.add((min(int(cls[x]), int(cls[z])), max(int(cls[x]), int(cls[z]))))
+
+    def emit() -> pa.RecordBatch:
+        a, b = zip(*found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    key, rows = None, []
+    for batch in batches:
+        for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, i, j) != key:
+                close(rows)
+                if len(found) > 100_000:
+                    yield emit()
+                key, rows = (bucket, i, j), []
+            rows.append(row)
+    close(rows)
+    if found:
+        yield emit()
 
 
 def named_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Every row's set (key, mark, n, cls), and of every class its component: (cls, root, component_id)."""
     parts = partitions(docs.sparkSession)
     sets = stored(set_table(docs, key, text), "sets")
-    classes = stored(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.min("mark").alias("mark")), "classes")
+    classes = stored(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.min("bits").alias("bits")), "classes")
     met = stored(meetings(filed(docs, text, parts), parts), "meetings")
-    votes = (met.where("cls <> center AND 4 * least(n, center_n) >= 3 * greatest(n, center_n)")
-             .groupBy("cls", "center").agg(F.sum("weight").alias("w")))
-    best = votes.groupBy("cls").agg(F.max(F.struct("w", "center")).alias("m")).select(F.col("m.center").alias("a"), F.col("cls").alias("b"))
+    best = first_candidates(met)
     first = verified(best, classes, docs, text)
     roots = pointer_roots(first.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    rest = stored(verified(other_candidates(met, roots), classes, docs, text), "links")
+    rest = stored(verified(other_candidates(met, roots, classes), classes, docs, text), "links")
     ends = rest
     for c in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
@@ -289,7 +355,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     judged by their own texts. Other columns are not read.
     """
     sets, named = named_classes(docs, key, text)
-    return sets.join(named, "cls", "left").select(
+    return sets.drop("bits").join(named, "cls", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -300,6 +366,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     fully equal rows, one). Rows without words are linked with nothing and all stay.
     """
     sets, named = named_classes(docs, key, text)
+    sets = sets.drop("bits")
     whole = sets.where("cls IS NOT NULL").join(named.select("cls", "root"), "cls")
     picked = whole.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("m")).select("m.key", "m.mark")
     same = sets.join(picked.select(F.col("mark").alias("mark2"), F.col("key").alias("key2")),
