@@ -23,15 +23,15 @@ from tokenizers import Tokenizer
 from tidewire.llm.common import slices, stored
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
-#: Distinct words whose ids a task keeps, in each of two generations.
-KEPT = 150_000
+#: Distinct words whose ids a task keeps, in each of two generations; new words that go through the library at once.
+KEPT, JOINED = 200_000, 200
 
 
 class WordIds:
     """Ids of texts by a tokenizer that never looks across white space: each distinct word goes through the library once.
 
-    ASCII words are lowered first, and a final full stop or comma after a letter is taken off, where the tokenizer does both
-    itself; the words that remain are fewer. Words kept longest unused are forgotten.
+    Words of Latin letters are lowered first, and a final full stop or comma is taken off, as the tokenizer does itself; the
+    words that remain are fewer. Words kept longest unused are forgotten.
     """
 
     def __init__(self, path: str, end: int):
@@ -40,48 +40,76 @@ class WordIds:
         self.end = np.array([end], self.kind).tobytes()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        suffix = self.library.model.end_of_word_suffix
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Words of letters alone end in the one token that closes a word, so many of them go through the library as one text."""
+        letters = [w for w in words if is_latin(w)] if self.ends.any() else []
+        joined = [letters[i:i + JOINED] for i in range(0, len(letters), JOINED)]
+        found = {}
+        for group, e in zip(joined, self.library.encode_batch_fast([" ".join(g) for g in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            raw, width = ids.tobytes(), self.kind.itemsize
+            at = 0
+            for w, cut in zip(group, (cuts * width).tolist(), strict=True):
+                found[w] = raw[at:cut]
+                at = cut
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (np.array(e.ids, self.kind).tobytes()
+                                for e in self.library.encode_batch_fast(rest, add_special_tokens=False))))
+        return [found[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") if t.isascii() and not any(c in t for c in "\n\t\r\x0b\x0c") else _cut(t) for t in texts]
         if len(self.young) > KEPT:
             self.old, self.young = self.young, {}
+        parts = [_cut(t) for t in texts]
+        got = [[*map(self.young.get, p)] for p in parts]
+        gaps = [[i for i, ids in enumerate(g) if ids is None] for g in got]
+        missing = {p[i] for p, at in zip(parts, gaps) for i in at}
+        if missing:
+            self.learn(missing)
+            for p, g, at in zip(parts, got, gaps):
+                for i in at:
+                    g[i] = self.young[p[i]]
+        return [b"".join(g) + self.end for g in got]
+
+    def learn(self, missing: set[str]) -> None:
         young, old = self.young, self.old
-        unknown = []
-        for w in {w for p in parts for w in p}:
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                else:
-                    unknown.append(w)
-        if unknown:
-            plain = {w: self.plain(w) for w in unknown}
-            ask = [w for w in {b for b, _ in plain.values()} if w not in young and w not in old]
-            young.update(zip(ask, self.encode(ask)))
-            for mark in {m for _, m in plain.values()} - {""} - young.keys():
-                young[mark] = self.encode([mark])[0]
-            for w, (body, mark) in plain.items():
-                ids = young[body] if body in young else old[body]
-                young[w] = ids + young[mark] if mark else ids
-        return [b"".join([*map(young.__getitem__, p), self.end]) for p in parts]
+        plain = {}
+        for w in missing:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            else:
+                plain[w] = self.plain(w)
+        ask = {b for b, _ in plain.values()} | {m for _, m in plain.values() if m}
+        ask = [w for w in ask if w not in young and w not in old]
+        young.update(zip(ask, self.encode(ask)))
+        for w, (body, mark) in plain.items():
+            ids = young[body] if body in young else old[body]
+            young[w] = ids + (young[mark] if mark in young else old[mark]) if mark else ids
 
     def plain(self, word: str) -> tuple[str, str]:
-        if not word.isascii() or "<" in word or any(s in word for s in self.specials):
-            return word, ""
-        word = word.lower()
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return word[:-1], word[-1]
+        """The word as the tokenizer lowers it, and a final mark that it splits off; (word, '') where that is not certain."""
+        body, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+        if is_latin(body):
+            return body.lower(), mark
         return word, ""
 
 
+def is_latin(word: str) -> bool:
+    """Only letters that lower to one letter and that no normal form changes."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 def _cut(text: str) -> list[str]:
-    for c in "\n\t\r\x0b\x0c":
-        if c in text:
-            text = text.replace(c, " ")
-    return text.split(" ")
+    """Pieces between ASCII spaces and line ends; other white space is the library's matter."""
+    return text.replace("\n", " ").split(" ")
 
 
 @lru_cache(maxsize=2)
