@@ -36,18 +36,6 @@ def test_copies_that_straddle_the_cut(spark, k):
     assert sorted(first) == [r[:2] for r in sorted(rows)][:k]
 
 
-def test_split_join_of_hot_keys(spark, monkeypatch):
-    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(600)], "flow_id string, v int")
-    right = spark.createDataFrame([("hot", 1), *[(f"k{i}", 0) for i in range(0, 50, 2)]], "flow_id string, label int")
-    for how in ("inner", "left_anti", "left"):
-        r = right.select("flow_id") if how == "left_anti" else right
-        want = sorted(map(tuple, left.join(r, ["flow_id"], how).collect()), key=str)
-        monkeypatch.setattr(skew, "is_small", lambda df, n=0: False)
-        got = skew.split_join(left, r, ["flow_id"], how, hot_rows=100)
-        assert sorted(map(tuple, got.collect()), key=str) == want
-        monkeypatch.undo()
-
-
 def test_last_label_counts(spark):
     flows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "flow_id string, flow_seq int")
     labels = spark.createDataFrame([("a", 0, 0), ("b", 1, 1), ("a", 1, 2)], "flow_id string, label bigint, row_no bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,31 @@ def _ipv4_number(ip: Column) -> Column:
     )
 
 
+def _ipv6_digits(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in text, null for other text."""
+    def groups(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    halves = F.split(F.lower(ip), "::")
+    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    return F.when(ip.contains(":"), F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _net6(cidr: str) -> Column:
+    found = ipaddress.IPv6Network(cidr, strict=False)
+    low, high = (f"{int(a):032x}" for a in (found.network_address, found.broadcast_address))
+
+    def inside(ip: Column) -> Column:
+        return F.coalesce(_ipv6_digits(ip).between(low, high), F.lit(False))
+
+    return inside(F.col("src_ip")) | inside(F.col("dst_ip"))
+
+
 def net(cidr: str) -> Column:
-    """Either end lies in an IPv4 network. Byte-aligned masks become prefix tests a scan can push down."""
+    """Either end lies in an IPv4 or IPv6 network. Byte-aligned IPv4 masks become prefix tests a scan can push down."""
+    if ":" in cidr:
+        return _net6(cidr)
     base, bits = cidr.split("/")
     bits = int(bits)
     if bits == 0:

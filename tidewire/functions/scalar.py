@@ -103,7 +103,9 @@ def binetflow_label(label: Column, include_background: bool = False) -> Column:
 def parse_port(text: Column) -> Column:
     """Port number from decimal or 0x-hex text; 0 when missing or unreadable."""
     t = F.trim(text)
-    hexadecimal = F.conv(F.substring(t, 3, 16), 16, 10).cast("double")
+    digits = F.regexp_replace(F.substring(t, 3, 1 << 30), "^0+(?=.)", "")
+    long = F.aggregate(F.split(digits, ""), F.lit(0.0), lambda a, c: a * 16 + F.coalesce(F.conv(c, 16, 10).cast("double"), F.lit(0.0)))
+    hexadecimal = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).cast("double")).otherwise(long)
     value = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal).otherwise(t.try_cast("double"))
     return F.coalesce(finite_or_null(value), F.lit(0.0))
 

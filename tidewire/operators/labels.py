@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators import skew
-
 
 def last_labels(labels: DataFrame) -> DataFrame:
     """One label per flow_id: that of its last row. Expects `flow_id, label (0/1), row_no`."""
@@ -14,12 +12,12 @@ def last_labels(labels: DataFrame) -> DataFrame:
 
 
 def label_join(flows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Flows with a label; a label holds for every flow of that id."""
-    return skew.split_join(flows, last_labels(labels), ["flow_id"], "inner")
+    """Flows with a label; a label holds for every flow of that id. Heavy ids are left to the engine's skew join."""
+    return flows.join(last_labels(labels), "flow_id")
 
 
 def unmatched_flows(flows: DataFrame, labels: DataFrame) -> DataFrame:
-    return skew.split_join(flows, last_labels(labels).select("flow_id"), ["flow_id"], "left_anti")
+    return flows.join(labels.select("flow_id"), "flow_id", "left_anti")
 
 
 def class_counts(table: DataFrame) -> DataFrame:

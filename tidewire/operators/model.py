@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.scalar import confidence, predict_label
+from tidewire.functions.scalar import confidence, is_finite, predict_label
 from tidewire.operators import metrics as M
 from tidewire.operators.features import zero_features
 from tidewire.operators.labels import class_weights
@@ -54,7 +54,11 @@ def feature_array(table: DataFrame) -> Column:
 
 
 def with_vector(table: DataFrame) -> DataFrame:
-    return table.withColumn("vector", array_to_vector(feature_array(table)))
+    """Adds `vector`. A row with a feature that is null, NaN or infinite ends the job that reads it: no pass of its own."""
+    values = feature_array(table)
+    checked = F.when(F.forall(values, is_finite), values).otherwise(
+        F.raise_error(F.lit("a row holds non-finite features; clean the table first")).cast("array<double>"))
+    return table.withColumn("vector", array_to_vector(checked))
 
 
 def with_weight(table: DataFrame, estimator: Estimator) -> tuple[DataFrame, dict[int, int]]:
@@ -122,7 +126,11 @@ def fit_and_evaluate(
     sides = spread(sides.select(*FEATURE_NAMES, "label", "is_test")).persist()
     try:
         trained = train(sides.filter(~F.col("is_test")), estimator, dataset)
-        return trained, evaluate(trained, sides.filter("is_test"))
+        result = evaluate(trained, sides.filter("is_test"))
+        row = result.first()
+        if not row["tn"] + row["fp"] or not row["tp"] + row["fn"]:
+            log.warning("the test side holds one class only: metrics of the other say nothing")
+        return trained, result
     finally:
         sides.unpersist()
 
@@ -162,7 +170,7 @@ def load(spark: SparkSession, path: str) -> Trained:
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     version = metadata.get("bundle_version", 0)
     if version > BUNDLE_VERSION:
-        raise ValueError(f"model bundle version {version} is newer than supported {BUNDLE_VERSION}")
+        raise ValueError(f"saved by a later release (bundle {version}; this one reads up to {BUNDLE_VERSION})")
     names = metadata.get("feature_names")
     if names and names != FEATURE_NAMES:
         log.warning("the model was trained on %d other features; predictions may be wrong", len(names))

@@ -122,20 +122,27 @@ def binetflow_transform(labelled: DataFrame, keep: list[str] = []) -> DataFrame:
     return _as_table(labelled, v, keep, tail)
 
 
+def require_attacks(table: DataFrame) -> DataFrame:
+    """The table itself; refused where no row is an attack, as nothing can be learned from it."""
+    if table.filter("label = 1").isEmpty():
+        raise ValueError("no attack rows are left after preparation")
+    return table
+
+
 def prepare_cic(
-    raw: DataFrame, only_botnet: bool = False, benign: int | None = None, seed: int = 42, keep: list[str] = [],
+    raw: DataFrame, only_botnet: bool = False, benign: int | None = None, seed: int = 42, keep: list[str] = [], row_key: list[str] | None = None,
 ) -> DataFrame:
     rows = filter_botnet_only(raw) if only_botnet else raw
     table = cic_transform(filter_finite_cic(rows), keep)
-    return table if benign is None else benign_sample(table, benign, seed, keep or None)
+    return require_attacks(table if benign is None else benign_sample(table, benign, seed, row_key))
 
 
 def prepare_binetflow(
-    raw: DataFrame, include_background: bool = False, benign: int | None = None, seed: int = 42, keep: list[str] = [],
+    raw: DataFrame, include_background: bool = False, benign: int | None = None, seed: int = 42, keep: list[str] = [], row_key: list[str] | None = None,
 ) -> DataFrame:
     rows = binetflow_label_filter(filter_finite_binetflow(raw), include_background)
     table = binetflow_transform(rows, keep)
-    return table if benign is None else benign_sample(table, benign, seed, keep or None)
+    return require_attacks(table if benign is None else benign_sample(table, benign, seed, row_key))
 
 
 def clean_drop_stats(raw: DataFrame, columns: list[str], usable: Column | None = None) -> DataFrame:

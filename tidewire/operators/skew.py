@@ -3,7 +3,6 @@
 Three tools, none of which changes a result:
 
 * `plan_cuts` splits the time line of each heavy conversation into chunks of about `chunk_rows` packets;
-* `split_join` joins a skewed side to a table that is unique per key;
 * `order_threshold` finds the k-th row of a total order from histograms instead of one global window.
 
 What reaches the driver is planning data whose size is bounded by parameters, never by the input.
@@ -107,31 +106,6 @@ def with_chunk(keyed: DataFrame, cuts: Cuts) -> DataFrame:
     )
 
 
-def split_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-    hot_rows: int = CHUNK_ROWS, max_hot: int = SMALL_ROWS,
-) -> DataFrame:
-    """Equi-join where `right` has one row per key and some keys of `left` may be very heavy.
-
-    A right side within the broadcast bound is broadcast and `left` is not moved at all. Otherwise the few
-    keys of `left` with more than `hot_rows` rows meet their right rows (at most one each) by broadcast, and
-    all other keys shuffle as usual.
-    """
-    if how not in ("inner", "left_anti", "left"):
-        raise ValueError(f"join type not supported: {how}")
-    if is_small(right):
-        return left.join(F.broadcast(right), keys, how)
-    heavy = left.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys).limit(max_hot)
-    rows = heavy.collect()                                      # bounded: total / hot_rows, and max_hot
-    if not rows:
-        return left.join(right, keys, how)
-    hot = frozen(left.sparkSession, [tuple(r) for r in rows], heavy.schema)
-    hot_side = left.join(F.broadcast(hot), keys, "left_semi")
-    rest = left.join(F.broadcast(hot), keys, "left_anti")
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")  # one row per hot key
-    return hot_side.join(F.broadcast(hot_right), keys, how).unionByName(rest.join(right, keys, how))
-
-
 def hash60(*columns) -> Column:
     """A 60-bit number from md5, the same in any engine; orders rows in a repeatable random way."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("bigint")

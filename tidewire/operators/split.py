@@ -8,6 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.scalar import is_finite
 from tidewire.operators import skew
 
 log = logging.getLogger(__name__)
@@ -16,19 +17,22 @@ log = logging.getLogger(__name__)
 def time_split(table: DataFrame, test_size: float = 0.25, row_key: list[str] | None = None) -> DataFrame:
     """Adds `is_test`: the last rows by start_time; the first int(n * (1 - test_size)) train.
 
-    Equal times are told apart by md5 of the row key. Without distinct times it falls back to a random split.
+    Rows without a time (null or not finite) come after all others. Equal times are told apart by md5 of the row key.
+    Without distinct times it falls back to a random split.
     """
     key = [F.col(c).cast("string") for c in row_key or table.columns]
     ordered = table.withColumns({
-        "_t": F.round(F.col("start_time") * 1e6).cast("bigint"), "_h": skew.hash60(*key)})
+        "_t": F.when(is_finite(F.col("start_time")), F.round(F.col("start_time") * 1e6)).cast("bigint"), "_h": skew.hash60(*key)})
     places = ordered.select("_t", "_h").persist()
     try:
         low, high, n = places.agg(F.min("_t"), F.max("_t"), F.count(F.lit(1))).first()
         if low == high:
             log.warning("start_time does not vary; using the stratified random split")
             return random_split(table, test_size, row_key=row_key)
-        ranges = {"_t": (low, high), "_h": skew.HASH_RANGE}
-        test, cut = skew.first_k(places, ["_t", "_h"], int(n * (1.0 - test_size)), ranges)
+        last = F.coalesce("_t", F.lit(high + 1))
+        ordered, whole = ordered.withColumn("_t", last), places.withColumn("_t", last)
+        ranges = {"_t": (low, high + 1), "_h": skew.HASH_RANGE}
+        test, cut = skew.first_k(whole, ["_t", "_h"], int(n * (1.0 - test_size)), ranges)
     finally:
         places.unpersist()
     marked = skew.mark(ordered, [(F.lit(True), test, cut)], ["_t", "_h"], "_train")

@@ -189,7 +189,7 @@ def show_features(df, names):
 
 
 for _name, _group in (("flow_features_stats", "stats"), ("flow_features_timing", "timing"), ("flow_features_proto", "proto")):
-    _names = [("out_" + n if n == "" else n) for n in FE.GROUPS[_group]]
+    _names = list(FE.GROUPS[_group])
 
     def _run(spark, sf_dir, group=_group, names=_names):
         return show_features(FE.flow_features(X.event_packets(spark, sf_dir), RULES, groups=(group,)), names)

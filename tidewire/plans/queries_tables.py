@@ -478,13 +478,13 @@ def _d(name):
 
 FOUND = f"""{O.features(O.packets(), REPORTED, True)}, p AS (SELECT *, 1 / (1 + {_d('beacon_score')}) AS pr FROM feats),
 found AS (SELECT flow_id, flow_seq, CASE WHEN pr >= 0.5 THEN 'c2' ELSE 'benign' END AS label,
-  round(CASE WHEN pr >= 0.5 THEN pr ELSE 1 - pr END, 6) AS confidence, round(pr, 6) AS proba_c2, src_ip, src_port, dst_ip, dst_port,
+  round_even(CASE WHEN pr >= 0.5 THEN pr ELSE 1 - pr END, 6) AS confidence, round_even(pr, 6) AS proba_c2, src_ip, src_port, dst_ip, dst_port,
   CASE protocol WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE CAST(protocol AS VARCHAR) END AS protocol,
-  round({_d('flow_duration')}, 3) AS duration_s, CAST(f_total_packets AS BIGINT) AS total_packets, CAST(f_total_bytes AS BIGINT) AS total_bytes,
-  round({_d('beacon_score')}, 6) AS beacon_score, round({_d('payload_entropy')}, 4) AS payload_entropy,
-  round({_d('pkts_per_second')}, 4) AS pkts_per_second, round({_d('iat_mean')}, 6) AS iat_mean FROM p)"""
+  round_even({_d('flow_duration')}, 3) AS duration_s, CAST(f_total_packets AS BIGINT) AS total_packets, CAST(f_total_bytes AS BIGINT) AS total_bytes,
+  round_even({_d('beacon_score')}, 6) AS beacon_score, round_even({_d('payload_entropy')}, 4) AS payload_entropy,
+  round_even({_d('pkts_per_second')}, 4) AS pkts_per_second, round_even({_d('iat_mean')}, 6) AS iat_mean FROM p)"""
 NUMBERS = ["confidence", "proba_c2", "duration_s", "beacon_score", "payload_entropy", "pkts_per_second", "iat_mean"]
-FLAT = ", ".join(O.fx(c, 5) + f" AS {c}" if c in NUMBERS else c for c in R.FLAT_COLUMNS)
+FLAT = ", ".join(O.fx(c, 6) + f" AS {c}" if c in NUMBERS else c for c in R.FLAT_COLUMNS)
 
 
 def found(spark, sf_dir):
@@ -492,7 +492,7 @@ def found(spark, sf_dir):
 
 
 def flat(df, more=[]):
-    return df.select(*[fx(F.col(c), 5).alias(c) if c in NUMBERS else F.col(c) for c in R.FLAT_COLUMNS], *more)
+    return df.select(*[fx(F.col(c), 6).alias(c) if c in NUMBERS else F.col(c) for c in R.FLAT_COLUMNS], *more)
 
 
 @query("report_round", f"{FOUND} SELECT {FLAT}, flow_seq FROM found")
@@ -524,13 +524,18 @@ def report_header(spark, sf_dir):
     return R.report_header(found(spark, sf_dir), "events").drop("analyzed_at", "model")
 
 
-@query("report_json", f"{FOUND} SELECT {FLAT} FROM found")
+@query("report_json", f"""{FOUND} SELECT {FLAT}, 1 AS schema_version, 'events' AS source, count(*) OVER () AS total_flows,
+  count(CASE WHEN proba_c2 >= 0.5 THEN 1 END) OVER () AS flagged_flows, CAST(0.5 AS DOUBLE) AS flag_threshold FROM found""")
 def report_json(spark, sf_dir):
-    """Written as JSON lines and read back."""
+    """Written as JSON lines with an envelope; both read back."""
     path = scratch_dir(spark, "report-json")
     rows = found(spark, sf_dir)
     R.write_json(rows, R.report_header(rows, "events"), path)
-    return flat(spark.read.schema(rows.select(*R.FLAT_COLUMNS).schema).json(f"{path}/flows"))
+    top = spark.read.json(f"{path}/header").first()         # one line
+    envelope = [F.lit(top["schema_version"]).cast("int").alias("schema_version"), F.lit(top["source"]).alias("source"),
+                F.lit(top["total_flows"]).cast("bigint").alias("total_flows"), F.lit(top["flagged_flows"]).cast("bigint").alias("flagged_flows"),
+                F.lit(top["flag_threshold"]).cast("double").alias("flag_threshold")]
+    return flat(spark.read.schema(rows.select(*R.FLAT_COLUMNS).schema).json(f"{path}/flows"), envelope)
 
 
 SHAP_SQL = f"""s AS (SELECT row_id, i, n, ((k * (i + 1)) % 1009 - 504) / 1000.0::DOUBLE AS v FROM

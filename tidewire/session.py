@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,12 +23,18 @@ _temporary_root: str | None = None
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path for a written table, under the cluster's shared `spark.checkpoint.dir`.
 
-    Only where the session has no such setting (tests, one machine) is a temporary folder used instead.
+    Only where the session has no such setting and runs on one machine (tests) is a temporary folder used instead, which
+    goes when the process ends; a cluster without the setting is refused, as its executors share no temporary folder.
     """
     global _temporary_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        _temporary_root = _temporary_root or tempfile.mkdtemp(prefix="tidewire-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if _temporary_root is None:
+            _temporary_root = tempfile.mkdtemp(prefix="tidewire-")
+            atexit.register(shutil.rmtree, _temporary_root, ignore_errors=True)
         root = _temporary_root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

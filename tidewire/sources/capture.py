@@ -31,13 +31,23 @@ NG_BYTE_ORDER = 0x1A2B3C4D
 OPT_TSRESOL, OPT_TSOFFSET = 9, 14
 
 
+def arrow_uri(path: str) -> str:
+    """Hadoop's names of object stores in the words Arrow knows them by."""
+    scheme, rest = path.split("://", 1)
+    if scheme in ("s3a", "s3n"):
+        return f"s3://{rest}"
+    if scheme in ("wasb", "wasbs"):
+        return "abfss://" + rest.replace(".blob.core.windows.net", ".dfs.core.windows.net", 1)
+    return path
+
+
 def file_system(path: str):
     """(Arrow file system, path in it) for a local path or any URI that Arrow knows."""
     from pyarrow import fs
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(arrow_uri(path))
     return fs.LocalFileSystem(), path
 
 

@@ -54,7 +54,7 @@ def resolve_inputs(spark: SparkSession, pattern: str) -> list[str]:
             if matches:
                 log.info("using %s instead of %s", other, name)
     if not matches:
-        raise FileNotFoundError(f"no files matched: {pattern}")
+        raise FileNotFoundError(f"nothing found under {pattern}")
     return matches
 
 
@@ -92,7 +92,7 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 
 
 def scan_text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV files, every column as text, headers normalised, plus `file_path`.
+    """CSV files, every column as text, headers normalised, plus `file_path` and `block_start`.
 
     Files with the same header are one scan, however many they are; different headers meet in a union.
     """
@@ -107,13 +107,14 @@ def scan_text(spark: SparkSession, paths: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
         frames.append(
             spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-            .csv(members).select("*", F.col("_metadata.file_path").alias("file_path"))
+            .csv(members).select("*", F.col("_metadata.file_path").alias("file_path"),
+                                 F.col("_metadata.file_block_start").alias("block_start"))
         )
     return union_files(frames)
 
 
 def cic_scan(spark: SparkSession, pattern: str) -> DataFrame:
-    return scan_text(spark, resolve_inputs(spark, pattern)).drop("file_path")
+    return scan_text(spark, resolve_inputs(spark, pattern)).drop("file_path", "block_start")
 
 
 def scenario_of(path: Column) -> Column:
@@ -126,7 +127,7 @@ def binetflow_scan(spark: SparkSession, pattern: str) -> DataFrame:
     lacking = missing_columns(raw, BINETFLOW_COLUMNS)
     if lacking:
         log.warning("binetflow input lacks columns: %s", lacking)
-    return raw.withColumn("scenario", scenario_of(F.col("file_path"))).drop("file_path")
+    return raw.withColumn("scenario", scenario_of(F.col("file_path"))).drop("file_path", "block_start")
 
 
 def unknown_labels(table: DataFrame) -> DataFrame:
@@ -137,9 +138,10 @@ def unknown_labels(table: DataFrame) -> DataFrame:
 
 def check_labels(table: DataFrame) -> DataFrame:
     """The table itself with `label` as 0/1, after a check for unknown words."""
-    words = [r[0] for r in unknown_labels(table).limit(20).collect()]
-    if words:
-        raise ValueError(f"unrecognised label values: {sorted(map(str, words))}")
+    unknown = unknown_labels(table)
+    if not unknown.isEmpty():
+        n, words = unknown.count(), [str(r[0]) for r in unknown.orderBy("label").take(100)]
+        raise ValueError(f"{n} label words outside the vocabulary (unknown_labels() has all of them): {words}")
     return table.withColumn("label", norm_label(F.col("label")))
 
 
@@ -162,19 +164,21 @@ def feature_table_scan(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     """Reads a stored feature table. CSV columns are taken by name from the header."""
     if fmt == "parquet":
         return load_features(spark.read.parquet(path))
-    raw = scan_text(spark, resolve_inputs(spark, path)).drop("file_path")
+    raw = scan_text(spark, resolve_inputs(spark, path)).drop("file_path", "block_start")
     types = {f.name: f.dataType for f in FEATURE_TABLE.fields if f.name != "label"}
     return load_features(raw.withColumns({n: F.col(n).try_cast(t) for n, t in types.items() if n in raw.columns}))
 
 
 def label_table_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Flow labels with `label` 0/1 and `row_no` in file order (path, then position within the file)."""
+    """Flow labels with `label` 0/1 and `row_no`, which orders rows by file path, then by position within the file.
+
+    Files may be read in any order and in blocks, so `row_no` is (path, start of the block, place among the rows of one task).
+    """
     raw = scan_text(spark, resolve_inputs(spark, path))
     lacking = missing_columns(raw, FLOW_LABELS.names)
     if lacking:
         raise ValueError(f"labels lack columns: {lacking}")
-    # partitions follow the files in order, so this grows along each file
-    numbered = raw.withColumn("row_no", F.monotonically_increasing_id())
+    numbered = raw.withColumn("row_no", F.struct("file_path", "block_start", F.monotonically_increasing_id().alias("place")))
     return check_labels(numbered.select("flow_id", "label", "row_no"))
 
 

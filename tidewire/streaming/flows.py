@@ -10,12 +10,14 @@ A stream ends flows when the watermark passes; `heartbeat` lands a row far ahead
 from __future__ import annotations
 
 import io
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.packets import flow_id, with_flow_key
@@ -140,7 +142,7 @@ def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay
     return (
         keyed.select(*FLOW_KEY, *CARRIED, "ts").groupBy(*FLOW_KEY)
         .applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-        .filter(F.col("protocol") != 0)       # heartbeats
+        .filter(F.col("flow_seq") != HEARTBEAT_SEQ)
     )
 
 
@@ -164,16 +166,60 @@ def stream_flow_stats(packets: DataFrame, rules: FlowRules = FlowRules(), delay:
     ).filter(F.col("last_seq") > HEARTBEAT_SEQ).select(flow_id().alias("flow_id"), "start_us", "end_us", "total_packets", "total_bytes", "flags")
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
-    """Processes all that has landed, appends to Parquet, and returns the progress reports."""
-    q = (
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return list(q.recentProgress)
-
-
-def dropped_late(progress: list[dict]) -> int:
-    """Rows that came behind the watermark, from the progress reports."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p["stateOperators"])
+class Progress(StreamingQueryListener):
+    """Sums over every batch of one query, however many there are (a query itself remembers only its latest ones)."""
+
+    def __init__(self):
+        self.batches, self.rows, self.dropped_late = 0, 0, 0
+        self.query_id, self.early, self.ended = None, [], threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        if self.query_id is None:
+            self.early.append(event.progress)
+        elif str(event.progress.runId) == self.query_id:
+            self.add(event.progress)
+
+    def follow(self, run_id: str) -> None:
+        self.query_id = run_id
+        for progress in self.early:
+            if str(progress.runId) == run_id:
+                self.add(progress)
+        self.early = []
+
+    def add(self, progress) -> None:
+        self.batches += 1
+        self.rows += progress.numInputRows
+        self.dropped_late += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if self.query_id in (None, str(event.runId)):
+            self.ended.set()
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> Progress:
+    """Processes all that has landed, appends to Parquet, and returns sums over all batches."""
+    progress = Progress()
+    streams = stream.sparkSession.streams
+    streams.addListener(progress)
+    try:
+        q = (
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        progress.follow(str(q.runId))
+        q.awaitTermination()
+        progress.ended.wait(60)                 # events come after the query has ended
+    finally:
+        streams.removeListener(progress)
+    return progress
+
+
+def dropped_late(progress: Progress) -> int:
+    """Rows that came behind the watermark, over all batches."""
+    return progress.dropped_late
