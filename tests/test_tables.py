@@ -84,8 +84,10 @@ def test_feature_table_checks(spark):
 def test_cic_without_optional_columns(spark):
     rows = [("5000000", "3", "BENIGN"), ("Infinity", "1", "Bot"), ("1", None, "Bot")]
     raw = spark.createDataFrame(rows, "`Flow Duration` string, `Total Fwd Packets` string, Label string")
-    out = PR.prepare_cic(raw).collect()
+    out = PR.cic_transform(PR.filter_finite_cic(raw)).collect()
     assert len(out) == 1 and out[0].flow_duration == 5 and out[0].total_packets == 3 and out[0].start_time == 0 and out[0].label == 0
+    with pytest.raises(ValueError, match="no attack rows"):
+        PR.prepare_cic(raw)
 
 
 def test_report(spark, tmp_path):

@@ -304,7 +304,7 @@ def benign_sample(spark, sf_dir):
 
 @query("union_sample", SAMPLE_SQL.replace("SELECT row_id, lab AS label, start_time FROM r", "SELECT lab AS label, count(*) AS n, count(DISTINCT row_id) AS n_ids FROM r") + " GROUP BY ALL")
 def union_sample(spark, sf_dir):
-    t = PR.prepare_binetflow(binetflow(spark, sf_dir), benign=5000, keep=["row_id"])
+    t = PR.prepare_binetflow(binetflow(spark, sf_dir), benign=5000, keep=["row_id"], row_key=["row_id"])
     return t.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_ids"))
 
 
