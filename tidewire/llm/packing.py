@@ -8,6 +8,7 @@ Texts are tokenised once; the sort moves keys and lengths, and tokens move once
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -19,12 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tidewire.llm.common import slices, stored
+from tidewire.llm.tokens import byte_symbols
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
 #: Distinct words whose ids a task keeps, in each of two generations; new words that go through the library at once.
-KEPT, JOINED = 200_000, 200
+KEPT, JOINED = 400_000, 200
 
 
 class WordIds:
@@ -41,28 +45,32 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
-        suffix = self.library.model.end_of_word_suffix
-        if suffix:
-            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.suffix, self.bare = model.get("end_of_word_suffix"), None
+        if model.get("type") == "BPE" and self.suffix:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self.bare = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=self.suffix))
+            self.bare.pre_tokenizer = WhitespaceSplit()
+            self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(self.suffix)]] = True
+            self.symbols = dict(enumerate(byte_symbols()))
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone end in the one token that closes a word, so many of them go through the library as one text."""
-        letters = [w for w in words if is_latin(w)] if self.ends.any() else []
-        joined = [letters[i:i + JOINED] for i in range(0, len(letters), JOINED)]
-        found = {}
-        for group, e in zip(joined, self.library.encode_batch_fast([" ".join(g) for g in joined], add_special_tokens=False)):
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Lowered words of letters need the library's merges alone, and end in the one token that closes a word: many at a time."""
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        lines = [t if t.isascii() else " ".join(w.encode().decode("latin-1").translate(self.symbols) for w in g)
+                 for g in groups for t in (" ".join(g),)]
+        width = self.kind.itemsize
+        for group, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            raw, width = ids.tobytes(), self.kind.itemsize
-            at = 0
-            for w, cut in zip(group, (cuts * width).tolist(), strict=True):
-                found[w] = raw[at:cut]
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(group, ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist(), strict=True):
+                yield w, raw[at:cut]
                 at = cut
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, (np.array(e.ids, self.kind).tobytes()
-                                for e in self.library.encode_batch_fast(rest, add_special_tokens=False))))
-        return [found[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > KEPT:
@@ -79,32 +87,35 @@ class WordIds:
         return [b"".join(g) + self.end for g in got]
 
     def learn(self, missing: set[str]) -> None:
+        """Words of letters are lowered, and lose a final stop or comma, which the tokenizer makes a word of its own."""
         young, old = self.young, self.old
-        plain = {}
+        plain, letters, others = {}, set(), []
         for w in missing:
-            ids = old.get(w)
-            if ids is not None:
-                young[w] = ids
-            else:
-                plain[w] = self.plain(w)
-        ask = {b for b, _ in plain.values()} | {m for _, m in plain.values() if m}
-        ask = [w for w in ask if w not in young and w not in old]
-        young.update(zip(ask, self.encode(ask)))
-        for w, (body, mark) in plain.items():
-            ids = young[body] if body in young else old[body]
-            young[w] = ids + (young[mark] if mark in young else old[mark]) if mark else ids
-
-    def plain(self, word: str) -> tuple[str, str]:
-        """The word as the tokenizer lowers it, and a final mark that it splits off; (word, '') where that is not certain."""
-        body, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if is_latin(body):
-            return body.lower(), mark
-        return word, ""
+            if w in old:
+                young[w] = old[w]
+                continue
+            body = w[:-1] if w.endswith((".", ",")) else w
+            if self.bare is None or not is_latin(body):
+                others.append(w)
+                continue
+            low = body.lower()
+            if low is not w:
+                plain[w] = low, w[len(body):]
+            if low not in young:
+                if low in old:
+                    young[low] = old[low]
+                else:
+                    letters.add(low)
+        marks = [m for m in (".", ",") if m not in young]
+        young.update(zip(others + marks, self.encode(others + marks)))
+        young.update(self.encode_letters([*letters]))
+        for w, (low, mark) in plain.items():
+            young[w] = young[low] + young[mark] if mark else young[low]
 
 
 def is_latin(word: str) -> bool:
     """Only letters that lower to one letter and that no normal form changes."""
-    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
 
 
 def _cut(text: str) -> list[str]:
