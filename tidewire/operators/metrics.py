@@ -55,7 +55,8 @@ def score_curve(scored: DataFrame, bins: int = 1024, small: int = skew.SMALL_ROW
     Prefix sums in two levels: scores fall into about equal bins, sums of whole bins (at most `bins` rows)
     carry over, and a window inside each bin does the rest. A short score list needs one bin only.
     """
-    groups = score_groups(scored)
+    # three passes read the counts; what makes the scores runs once
+    groups = score_groups(scored).persist()
     if skew.is_small(groups, small):
         binned = groups.withColumn("bin", F.lit(0))
     else:
