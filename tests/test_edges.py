@@ -33,6 +33,16 @@ def test_protocol_zero_is_kept_in_streams(spark, tmp_path):
     assert got.count() == 10 and progress.batches >= 1 and progress.rows == 11
 
 
+def test_a_stream_stops_after_enough_packets(spark, tmp_path):
+    rows = [(i, 1_000_000 * (i + 1), "10.0.0.1", "10.0.0.2", 1, 2, 17, 60, 10, 0, bytearray(b"x")) for i in range(20)]
+    spark.createDataFrame(rows, PACKETS).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = SF.packet_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    few = SF.run_for(stream, str(tmp_path / "few"), str(tmp_path / "cp1"), packets=6, seconds=60)
+    assert 6 <= few.rows < 20 and spark.read.parquet(str(tmp_path / "few")).count() >= 6
+    brief = SF.run_for(stream, str(tmp_path / "brief"), str(tmp_path / "cp2"), seconds=1)
+    assert brief.rows <= 20
+
+
 def test_the_last_label_file_wins(spark, tmp_path):
     (tmp_path / "a.csv").write_text("flow_id,label\nX,benign\nY,c2\n")
     (tmp_path / "b.csv").write_text("flow_id,label\n" + "".join(f"Z{i},benign\n" for i in range(5000)) + "X,c2\n")

@@ -115,15 +115,17 @@ def fit_and_evaluate(
     zeroed: list[str] = [], dataset: str = "unknown", row_key: list[str] | None = None,
 ) -> tuple[Trained, DataFrame]:
     """Split, optionally blind some features on both sides, train, evaluate."""
-    if split == "time" and "start_time" in table.columns:
-        sides = time_split(table, test_size, row_key)
-    else:
-        sides = random_split(table, test_size, seed, row_key)
+    timed = split == "time" and "start_time" in table.columns
+    if row_key:
+        table = table.select(*dict.fromkeys([*FEATURE_NAMES, "label", *(["start_time"] if timed else []), *row_key]))
+    # what makes the table runs once: the split passes over it several times, training once per tree level, and both are
+    # worth one move into even partitions
+    table = spread(table).persist()
+    sides = time_split(table, test_size, row_key) if timed else random_split(table, test_size, seed, row_key)
     if zeroed:
         sides = zero_features(sides, zeroed)
         dataset = f"{dataset} [zeroed: {','.join(zeroed)}]"
-    # training passes over these rows once per tree level: worth one move into even partitions
-    sides = spread(sides.select(*FEATURE_NAMES, "label", "is_test")).persist()
+    sides = sides.select(*FEATURE_NAMES, "label", "is_test").persist()
     try:
         trained = train(sides.filter(~F.col("is_test")), estimator, dataset)
         result = evaluate(trained, sides.filter("is_test"))
@@ -133,6 +135,7 @@ def fit_and_evaluate(
         return trained, result
     finally:
         sides.unpersist()
+        table.unpersist()
 
 
 def ablation(table: DataFrame, runs: dict[str, list[str]], make=forest, **options) -> DataFrame:

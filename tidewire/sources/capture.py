@@ -6,6 +6,7 @@ Two lazy steps: one task per file hops over record headers and notes where to sp
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from tidewire.schemas import FRAMES
 from tidewire.sources.tables import resolve_inputs
 
 SPLIT_BYTES = 64 << 20
+INDEX_BYTES = 8 << 20
 BATCH_FRAMES = 8192
 FILE_SHIFT = 40         # packet_seq = file number * 2^40 + frame number: unique, in file order
 
@@ -97,8 +99,9 @@ def plan_splits(path: str, split_bytes: int) -> Iterator[tuple]:
 
     Reads headers and skips bodies. A file cut off in the middle of a record ends with the last whole one.
     """
-    with open_file(path) as f:
-        size = f.size()
+    with open_file(path) as raw_file:
+        size = raw_file.size()
+        f = io.BufferedReader(raw_file, INDEX_BYTES)        # headers of many frames in one request
         kind, order, ticks, link = _header(f)
         interfaces: list = []
         at = begin = 24 if kind == "pcap" else 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -220,6 +221,32 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> Progress:
     return progress
 
 
+def run_for(stream: DataFrame, out: str, checkpoint: str, packets: int | None = None, seconds: float | None = None,
+            every: str = "1 second") -> Progress:
+    """Runs on as packets land, and stops after the batch that brings the rows read to `packets`, or after `seconds`.
+
+    Whole batches are processed, so a few more than `packets` may be read; what was read is written and committed.
+    """
+    progress = Progress()
+    streams = stream.sparkSession.streams
+    streams.addListener(progress)
+    end = None if seconds is None else time.monotonic() + seconds
+    try:
+        q = (
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
+            .outputMode("append").trigger(processingTime=every).start()
+        )
+        progress.follow(str(q.runId))
+        while not q.awaitTermination(0.2):
+            if (packets is not None and progress.rows >= packets) or (end is not None and time.monotonic() >= end):
+                q.stop()
+                break
+        progress.ended.wait(60)
+    finally:
+        streams.removeListener(progress)
+    return progress
+
+
 def dropped_late(progress: Progress) -> int:
     """Rows that came behind the watermark, over all batches."""
     return progress.dropped_late

@@ -31,8 +31,9 @@ def closed_features(packets: DataFrame, closed: DataFrame, min_packets: int = MI
 def score_stream(
     spark: SparkSession, packets: DataFrame, trained: Trained, path: str, rules: FlowRules = FlowRules(),
     min_packets: int = MIN_PACKETS, delay: str = DEFAULT_DELAY, explain: bool = False,
+    every: str | None = None,
 ):
-    """Starts the query: `<path>/packets` keeps packets with their flow, `<path>/alerts` the scored closed flows.
+    """Starts the query (what has landed, or on and on with a batch `every` so often): `<path>/packets` keeps packets with their flow, `<path>/alerts` the scored closed flows.
 
     Each micro-batch overwrites its own folder, so a batch that is run again leaves no doubles.
     """
@@ -58,5 +59,5 @@ def score_stream(
 
     return (
         assign_flow_stream(packets, rules, delay).writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
     )
