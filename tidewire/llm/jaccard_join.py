@@ -35,7 +35,7 @@ PARITIES, BLOCK = 2048, 1024
 #: Ids looked up by broadcast; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Signatures a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 
 
 def bands(largest: int = 1 << 40) -> list[tuple[int, int, int]]:

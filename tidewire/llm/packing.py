@@ -29,7 +29,7 @@ from tidewire.llm.tokens import byte_symbols
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
 #: Distinct words whose ids a task keeps, in each of two generations; new words that go through the library at once.
-KEPT, JOINED = 400_000, 200
+KEPT, JOINED = 250_000, 200
 
 
 class WordIds:

@@ -8,7 +8,7 @@ import xxhash
 #: ASCII letters lowered, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words whose hashes a task keeps.
-KEPT = 300_000
+KEPT = 200_000
 
 
 class Words(dict):
