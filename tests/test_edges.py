@@ -51,6 +51,16 @@ def test_the_last_label_file_wins(spark, tmp_path):
     assert found == {"X": 1, "Y": 0}
 
 
+def test_headers_of_many_files(spark, tmp_path, monkeypatch):
+    for i in range(9):
+        (tmp_path / f"f{i}.csv").write_text(("a,b\n" if i % 2 else "b,c\n") + f"{i},x\n")
+    paths = [str(tmp_path / f"f{i}.csv") for i in range(9)]
+    few = TB.read_headers(spark, paths)
+    monkeypatch.setattr(TB, "FEW_FILES", 2)
+    assert TB.read_headers(spark, paths) == few == [["a", "b"] if i % 2 else ["b", "c"] for i in range(9)]
+    assert TB.scan_text(spark, paths).count() == 9
+
+
 def test_later_fragments_hold_no_transport_header(spark):
     def frame(offset):
         ip = bytes([0x45, 0, 0, 40, 0, 1, offset >> 8, offset & 255, 64, 17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2])

@@ -7,6 +7,7 @@ result has properties that hold for every row, the query counts the rows that ke
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import packets as P
@@ -154,9 +155,15 @@ def explain(spark, sf_dir):
         F.max(F.size("shap")).alias("n_features"))
 
 
-@query("feature_importance_topk")
+@query("feature_importance_topk", "SELECT CAST(range + 1 AS INTEGER) AS place, true AS falling, range < 2 AS must_be_a_size, true AS fits FROM range(10)")
 def feature_importance_topk(spark, sf_dir):
-    return MO.feature_importance(forest_on(spark, sf_dir)[0], spark, 10)
+    """The ten most important features by place: values fall, and the first two are sizes, of which the label is made."""
+    top = MO.feature_importance(forest_on(spark, sf_dir)[0], spark, 10)
+    order = Window.orderBy(F.desc("importance"), "feature")                # ten rows
+    placed = top.select(F.row_number().over(order).alias("place"), "feature",
+                        F.coalesce(F.lag("importance").over(order) >= F.col("importance"), F.lit(True)).alias("falling"))
+    size = F.col("feature").isin(SIZES.split(","))
+    return placed.select("place", "falling", (F.col("place") <= 2).alias("must_be_a_size"), ((F.col("place") > 2) | size).alias("fits"))
 
 
 @query("feature_importance", f"WITH {BC} SELECT 34 AS n_features, true AS sums_to_one, count(*) > 0 AS finds_the_features FROM labelled")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import logging
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,6 +17,9 @@ from tidewire.schemas import FEATURE_NAMES, FEATURE_TABLE, FLOW_LABELS
 
 log = logging.getLogger(__name__)
 
+#: More files than this have their headers read by tasks.
+FEW_FILES = 64
+
 # fixed values: the columns of a binetflow file
 BINETFLOW_COLUMNS = [
     "StartTime", "Dur", "Proto", "SrcAddr", "Sport", "Dir", "DstAddr", "Dport",
@@ -79,6 +83,33 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line])) if line else []
 
 
+def read_headers(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The header of each file: a few files from here, many by tasks (and those that tasks cannot open from here)."""
+    found: dict[str, list[str] | None] = {}
+    if len(paths) > FEW_FILES:
+        def first_lines(batches):
+            for batch in batches:
+                yield batch.assign(header=[_first_line(p) for p in batch["path"]])
+
+        listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // FEW_FILES))
+        for row in listed.mapInPandas(first_lines, "path string, header string").collect():      # a line per listed file
+            found[row["path"]] = None if row["header"] is None else next(csv.reader([row["header"]]), [])
+    left = [p for p in paths if found.get(p) is None]
+    with ThreadPoolExecutor(8) as pool:
+        found.update(zip(left, pool.map(lambda p: read_header(spark, p), left)))
+    return [found[p] for p in paths]
+
+
+def _first_line(path: str) -> str | None:
+    from tidewire.sources.capture import open_file
+
+    try:
+        with io.BufferedReader(open_file(path), 1 << 16) as f:
+            return f.readline().decode("utf-8", "replace").rstrip("\r\n")
+    except Exception:  # noqa: BLE001  a store that Arrow does not know
+        return None
+
+
 def union_files(frames: list[DataFrame]) -> DataFrame:
     """All rows; a column that some inputs lack is null there."""
     out = frames[0]
@@ -96,8 +127,7 @@ def scan_text(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Files with the same header are one scan, however many they are; different headers meet in a union.
     """
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda p: tuple(normalise_headers(read_header(spark, p))), paths))
+    headers = [tuple(normalise_headers(h)) for h in read_headers(spark, paths)]
     groups: dict[tuple, list[str]] = {}
     for path, header in zip(paths, headers):
         if header:
