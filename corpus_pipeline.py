@@ -34,8 +34,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, with the tokens themselves."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents in sequences of 2048 tokens, with the tokens themselves.
+
+    Workers live through all stages, so they remember fewer words here than where packing is all they do.
+    """
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), kept=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -23,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into pieces of few rows and few bytes of the column `text`."""
+    """The batches, cut into pieces of few rows and few bytes of the column `text`.
+
+    When they end, memory that Arrow keeps for later goes back: workers outlive their tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -35,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = min(max(end, start + 1), start + ROWS_AT_ONCE, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:

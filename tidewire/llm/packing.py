@@ -29,7 +29,7 @@ from tidewire.llm.tokens import byte_symbols
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
 #: Distinct words whose ids a task keeps, in each of two generations; new words that go through the library at once.
-KEPT, JOINED = 250_000, 200
+KEPT, JOINED = 400_000, 200
 
 
 class WordIds:
@@ -39,7 +39,8 @@ class WordIds:
     words that remain are fewer. Words kept longest unused are forgotten.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, kept: int = KEPT):
+        self.most = kept
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
@@ -74,7 +75,7 @@ class WordIds:
                 at = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > KEPT:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         parts = [_cut(t, self.bare is not None) for t in texts]
         got = [[*map(self.young.get, p)] for p in parts]
@@ -90,11 +91,12 @@ class WordIds:
     def learn(self, missing: set[str]) -> None:
         """Words of letters are lowered, and lose a final stop or comma, which the tokenizer makes a word of its own."""
         young, old = self.young, self.old
-        plain, letters, others = {}, set(), []
-        for w in missing:
-            if w in old:
-                young[w] = old[w]
-                continue
+        plain, others = {}, []
+        known = missing & old.keys()
+        young.update((w, old[w]) for w in known)
+        fresh = missing - known if known else missing
+        letters = {w for w in fresh if w.isascii() and w.isalpha() and w.islower()} if self.bare else set()
+        for w in fresh - letters:
             body = w[:-1] if w.endswith((".", ",")) else w
             if self.bare is None or not is_latin(body):
                 others.append(w)
@@ -138,8 +140,8 @@ def _cut(text: str, lowers: bool) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, end: int) -> WordIds:
-    return WordIds(path, end)
+def word_ids(path: str, end: int, kept: int = KEPT) -> WordIds:
+    return WordIds(path, end, kept)
 
 
 @lru_cache(maxsize=1)
@@ -184,18 +186,20 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text",
+           kept: int = KEPT) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): one row for each piece of a document.
 
     A null text is empty and has the closing id alone. Null keys and repeated rows are documents of their own; documents at
     one place of the curve follow each other in the order they were read. Sequences are numbered from 0 and full but for the
-    last. Other columns are not read. An empty table has no pieces.
+    last. Other columns are not read. An empty table has no pieces. `kept` bounds the words a worker remembers, and so its
+    memory; it does not show in the result.
     """
     kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     wide = np.dtype("<u4")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer, end)
+        encode = word_ids(tokenizer, end, kept)
         for part in slices(batches, "text"):
             raw = encode([t or "" for t in part.column(1).to_pylist()])
             ids = [np.frombuffer(r, encode.kind) for r in raw]
