@@ -38,7 +38,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers live through all stages, so they remember fewer words here than where packing is all they do.
     """
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), kept=150_000)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), kept=150_000, forget=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

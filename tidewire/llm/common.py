@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):               # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches, cut into pieces of few rows and few bytes of the column `text`.
 
-    When they end, memory that Arrow keeps for later goes back: workers outlive their tasks.
+    When they end, memory kept for later goes back.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -38,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = min(max(end, start + 1), start + ROWS_AT_ONCE, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import held, partitions, released, slices, stored
+from tidewire.llm.common import held, partitions, release, released, slices, stored
 from tidewire.llm.components import components, pointer_roots
-from tidewire.llm.shingles import mix, set_id, shingle_set
+from tidewire.llm.shingles import forget, mix, set_id, shingle_set
 
 #: Sets of at most this difference file one-deletion neighbours.
 SHORT = 18
@@ -95,6 +95,7 @@ def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                 [part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(parities, sets), pa.binary())],
                 ["key", "mark", "n", "cls", "bits"])
+        forget()
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(
         run, f"key {kind}, mark long, n long, cls long, bits binary")
@@ -143,6 +144,7 @@ def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     found, entries, total = [], [], 0
         if total:
             yield flush()
+        forget()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, n int, sigs binary, entries binary")
 
@@ -205,6 +207,7 @@ def meetings(packed: DataFrame, parts: int) -> DataFrame:
                 rows.append((n, sig, table))
         if rows:
             yield from find(part, rows)
+        release()
 
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -233,6 +236,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        forget()
 
     return full.mapInArrow(run, "a long, b long, ok boolean").where("ok").select("a", "b")
 

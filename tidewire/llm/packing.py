@@ -187,13 +187,13 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def packed(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text",
-           kept: int = KEPT) -> DataFrame:
+           kept: int = KEPT, forget: bool = False) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): one row for each piece of a document.
 
     A null text is empty and has the closing id alone. Null keys and repeated rows are documents of their own; documents at
     one place of the curve follow each other in the order they were read. Sequences are numbered from 0 and full but for the
-    last. Other columns are not read. An empty table has no pieces. `kept` bounds the words a worker remembers, and so its
-    memory; it does not show in the result.
+    last. Other columns are not read. An empty table has no pieces. `kept` bounds the words a worker remembers, and
+    `forget` drops them when a task ends: both bound memory and do not show in the result.
     """
     kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     wide = np.dtype("<u4")
@@ -206,6 +206,8 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, ke
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places(ids)), pa.array(map(len, ids), pa.int64()),
                                               pa.array(raw, pa.binary()), pa.array([encode.kind.itemsize] * len(ids), pa.int32())],
                                              ["key", "place", "n", "ids", "width"])
+        if forget:
+            encode.young, encode.old = {}, {}
 
     tokens = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         tokenise, f"key {kind}, place long, n long, ids binary, width int")

@@ -22,6 +22,11 @@ class Words(dict):
 _words = Words()
 
 
+def forget() -> None:
+    """Drops the words kept; a task does so when it ends, as they are soon worked out again."""
+    _words.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
