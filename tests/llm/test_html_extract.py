@@ -63,3 +63,24 @@ def test_shared_lines_go_wherever_the_ranges_end(spark):
 
 def test_empty_table(spark):
     assert HX.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def at_any_border(spark, rows):
+    """{key: texts}; the same wherever the ranges end."""
+    want = None
+    for n in (1, 3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = sorted((r.page_id, r.text) for r in HX.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert want is None or got == want
+        want = got
+    return dict(want)
+
+
+def test_differencing_decides_pages_with_an_article(spark):
+    body = ("<body><div>House menu</div><main><div>More of the house</div><h1>Head {0}</h1><p>A passage that all share.</p><p>Own text of page {0}.</p></main>"
+            "<div>Beside the article, only on {0}.</div><div>Rights of the house</div></body>")
+    found = at_any_border(spark, [(i, f"http://a.example/{i:02d}", body.format(i)) for i in range(12)])
+    assert all(found[i] == f"Head {i}\nA passage that all share.\nOwn text of page {i}.\nBeside the article, only on {i}." for i in range(12))

@@ -1,9 +1,9 @@
 """Main text of web pages: markup into blocks, then differencing against the page with the nearest URL.
 
 Pages are dealt by host and path into key ranges, so that neighbours by URL lie in one task even where one host holds most
-pages; the first and last page of a range are also sent to the range beside it, so every page meets both neighbours. Blocks
-outside the article are aligned with those of the nearer neighbour by longest common subsequence; common ones are menus,
-notices and the like and go. Blocks inside an article or main element are exempt: pages may share passages of text.
+pages; the first and last page of a range are also sent to the range beside it, so every page meets both neighbours. A page's
+blocks are aligned with those of the nearer neighbour by longest common subsequence; common ones are menus, notices and the
+like and go, wherever they lie. Paragraphs and headings inside an article or main element are exempt: pages may share passages.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
                    "h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript template svg math".split())
+#: Elements that inside an article hold its own text.
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"br", "body", "html"}
 #: Words of class and id names that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
@@ -47,6 +49,7 @@ SPACES = re.compile(r"\s+")
 class Block:
     text: str
     article: bool
+    prose: bool = False                                 # a paragraph or heading of the article
 
 
 def is_marked(attributes: str) -> bool:
@@ -73,7 +76,8 @@ def blocks(page: str) -> list[Block]:
             line = SPACES.sub(" ", "".join(text)).strip()
             text.clear()
             if line:
-                found.append(Block(line, bool(stack) and stack[-1][2]))
+                inside = bool(stack) and stack[-1][2]
+                found.append(Block(line, inside, inside and any(name in PROSE and i for name, _, i in stack)))
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -198,12 +202,12 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 class Page:
-    """A row with its blocks; only what lies outside the article is compared."""
+    """A row with its blocks; all but the prose of an article are compared."""
 
     def __init__(self, row: dict):
         self.row, self.host, self.path = row, row["host"], row["path"]
         self.blocks = blocks(row["html"] or "")
-        self.hashes = [blake2b(b.text.encode("utf-8", "replace"), digest_size=8).digest() for b in self.blocks if not b.article]
+        self.hashes = [blake2b(b.text.encode("utf-8", "replace"), digest_size=8).digest() for b in self.blocks if not b.prose]
 
     def text(self, before: Page | None, after: Page | None) -> str:
         gone: set[int] = set()
@@ -211,10 +215,9 @@ class Page:
         if near:
             other = max(near, key=lambda p: shared_prefix(p.path, self.path))            # a tie goes to the page before
             gone = common(self.hashes, other.hashes)
-        outside = [b for b in self.blocks if not b.article]
-        own = {id(b) for i, b in enumerate(outside) if i not in gone}
-        has_article = any(b.article for b in self.blocks)
-        return "\n".join(b.text for b in self.blocks if b.article or not has_article and id(b) in own)
+        compared = [b for b in self.blocks if not b.prose]
+        own = {id(b) for i, b in enumerate(compared) if i not in gone}
+        return "\n".join(b.text for b in self.blocks if b.prose or id(b) in own)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
