@@ -84,3 +84,17 @@ def test_differencing_decides_pages_with_an_article(spark):
             "<div>Beside the article, only on {0}.</div><div>Rights of the house</div></body>")
     found = at_any_border(spark, [(i, f"http://a.example/{i:02d}", body.format(i)) for i in range(12)])
     assert all(found[i] == f"Head {i}\nA passage that all share.\nOwn text of page {i}.\nBeside the article, only on {i}." for i in range(12))
+
+
+def test_copies_do_not_erase_each_other(spark):
+    body = "<body><div>Menu of the house</div><p>Text {0} of its own.</p><p>More {0}.</p><div>All rights of the house</div></body>"
+    rows = [(i, f"http://a.example/x{i:02d}", body.format(i)) for i in range(5)]
+    rows += [(10 + i, f"http://a.example/x02?page={i}", body.format(2)) for i in range(20)]           # over several ranges
+    rows += [(40 + i, f"http://b.example/{i}", body.format(7)) for i in range(9)]                     # a host of copies only
+    long = "A notice of so many words that next to it nothing else counts for anything at all. " * 3
+    rows += [(60 + i, f"http://c.example/{i}", f"<p>{long}</p><p>At {i}.</p>") for i in range(2)]     # near copies
+    found = at_any_border(spark, rows)
+    assert all(found[i] == f"Text {i} of its own.\nMore {i}." for i in range(5))
+    assert all(found[10 + i] == found[2] for i in range(20))
+    assert all(found[40 + i].startswith("Menu of the house\nText 7") for i in range(9))
+    assert all(found[60 + i] == f"{long.strip()}\nAt {i}." for i in range(2))

@@ -1,9 +1,12 @@
 """Main text of web pages: markup into blocks, then differencing against the page with the nearest URL.
 
 Pages are dealt by host and path into key ranges, so that neighbours by URL lie in one task even where one host holds most
-pages; the first and last page of a range are also sent to the range beside it, so every page meets both neighbours. A page's
-blocks are aligned with those of the nearer neighbour by longest common subsequence; common ones are menus, notices and the
-like and go, wherever they lie. Paragraphs and headings inside an article or main element are exempt: pages may share passages.
+pages; the pages that end a range are also sent to other ranges, so every page meets both neighbours. A page's blocks are
+aligned with those of the nearer neighbour by longest common subsequence; common ones are menus, notices and the like and
+go, wherever they lie. Paragraphs and headings inside an article or main element are exempt: pages may share passages of text.
+
+Copies are no neighbours: of equal pages in a row each is compared with the nearest page, before or after, whose blocks differ.
+Nothing goes because of a page that is nearly the same (`NEAR`).
 """
 
 from __future__ import annotations
@@ -11,10 +14,11 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import chain
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +47,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog for
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACES = re.compile(r"\s+")
+#: Two pages of which blocks with so large a share of the longer one's characters are the same are near copies.
+NEAR = 0.8
 
 
 @dataclass
@@ -202,37 +208,80 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 class Page:
-    """A row with its blocks; all but the prose of an article are compared."""
-
-    def __init__(self, row: dict):
-        self.row, self.host, self.path = row, row["host"], row["path"]
-        self.blocks = blocks(row["html"] or "")
-        self.hashes = [blake2b(b.text.encode("utf-8", "replace"), digest_size=8).digest() for b in self.blocks if not b.prose]
-
-    def text(self, before: Page | None, after: Page | None) -> str:
-        gone: set[int] = set()
-        near = [p for p in (before, after) if p and p.host and p.host == self.host]
-        if near:
-            other = max(near, key=lambda p: shared_prefix(p.path, self.path))            # a tie goes to the page before
-            gone = common(self.hashes, other.hashes)
-        compared = [b for b in self.blocks if not b.prose]
-        own = {id(b) for i, b in enumerate(compared) if i not in gone}
-        return "\n".join(b.text for b in self.blocks if b.prose or id(b) in own)
+    """The blocks of a page; all but the prose of an article are compared."""
+
+    def __init__(self, host: str, path: str, html: str | None):
+        self.host, self.path, self.blocks = host, path, blocks(html or "")
+        every = [blake2b(b.text.encode("utf-8", "replace"), digest_size=8).digest() for b in self.blocks]
+        self.hashes = [h for h, b in zip(every, self.blocks) if not b.prose]
+        self.sign = blake2b(b"".join(h + (b"p" if b.prose else b"-") for h, b in zip(every, self.blocks)), digest_size=16).digest()
+        self.sizes = {h: len(b.text) for h, b in zip(every, self.blocks)}
+        self.counts = Counter(every)
+
+    def is_near(self, other: Page) -> bool:
+        shared = sum(n * self.sizes[h] for h, n in (self.counts & other.counts).items())
+        return shared >= NEAR * max(sum(n * p.sizes[h] for h, n in p.counts.items()) for p in (self, other))
+
+    def without(self, other: Page | None) -> str:
+        gone = common(self.hashes, other.hashes) if other else set()
+        places, kept = count(), []
+        for b in self.blocks:
+            if b.prose or next(places) not in gone:
+                kept.append(b.text)
+        return "\n".join(kept)
+
+
+class Run:
+    """Equal pages in a row: their blocks once, and a row for each page that lies in this range."""
+
+    def __init__(self, page: Page):
+        self.page, self.first, self.last = page, page.path, page.path
+        self.rows: list[tuple] = []                     # key, url, path
+
+    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
+        """(key, url, text) of each row, compared with the nearer of the runs beside it that is no near copy."""
+        if not self.rows:
+            return
+        near = [(r, path) for r, path in ((before, before and before.last), (after, after and after.first))
+                if r and r.page.host and r.page.host == self.page.host and not self.page.is_near(r.page)]
+        found: dict[int | None, str] = {}
+        for key, url, path in self.rows:
+            other = max(near, key=lambda x: shared_prefix(x[1], path), default=(None, ""))[0]            # a tie goes to the page before
+            if id(other) not in found:
+                found[id(other)] = self.page.without(other and other.page)
+            yield key, url, found[id(other)]
+
+
+Place = tuple[str, str, int, int]                       # host, path, mark, content
+Ends = tuple[tuple[Place, bytes], tuple[Place, bytes] | None]
+
+
+def extend(ends: Ends | None, one: tuple[Place, bytes], high: bool) -> Ends:
+    """The outermost page, and the outermost of those unlike it; `high` for the end of a range, else its start."""
+    if ends is None:
+        return one, None
+    first, second = ends
+    if (one[0] > first[0]) == high and one[0] != first[0]:
+        return one, first if first[1] != one[1] else second
+    if one[1] != first[1] and (second is None or (one[0] > second[0]) == high):
+        return first, one
+    return ends
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page; text is '' where a page has none or its html is null.
 
     Null keys and urls stay null; pages of no host (null or empty url) have no neighbours, nor have those whose neighbours
-    are of other hosts: they lose no lines to differencing. Rows of one url and key are neighbours in the order of their
-    html. Other columns are not read. There are as many key ranges as shuffle partitions; neither their number nor their
+    are of other hosts, are copies or near copies: they lose no lines to differencing. Pages without text are passed over.
+    Rows of one url and key are neighbours in the order of a hash of their html. Other columns are not read. There are as many key ranges as shuffle partitions; neither their number nor their
     borders show in the result.
     """
     n = partitions(pages.sparkSession)
     keyed = bind(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).cast("string").alias("html")),
                  {"bare": F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#](?s:.*)$", "")})
     keyed = keyed.select("key", "url", "html", F.lower(F.substring_index("bare", "/", 1)).alias("host"),
-                         F.expr("substring(bare, instr(concat(bare, '/'), '/') + 1)").alias("path"), F.xxhash64("key").alias("mark"))
+                         F.expr("substring(bare, instr(concat(bare, '/'), '/') + 1)").alias("path"), F.xxhash64("key").alias("mark"),
+                         F.xxhash64("html").alias("content"))
     narrow = keyed.select("host", "path", "mark")
     # borders of the ranges: at most 50 keys for each, picked by hash
     total = narrow.count()
@@ -240,25 +289,51 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     sample = sorted(tuple(r) for r in narrow.where(F.pmod(F.xxhash64("mark", "path"), F.lit(1_000_000)) < share).collect())
     borders = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bool], Ends] = {}
+        for part in slices(batches, "html"):
+            for host, path, mark, content, text in zip(*(part.column(c).to_pylist() for c in ("host", "path", "mark", "content", "html"))):
+                page = Page(host, path, text)
+                if not page.blocks or not host:
+                    continue
+                at, one = bisect_right(borders, (host, path, mark)), ((host, path, mark, content), page.sign)
+                for high in (False, True):
+                    found[at, high] = extend(found.get((at, high)), one, high)
+        yield packed(found)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bool], Ends] = {}
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("host", "path", "mark")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bisect_right(borders, r) for r in rows], pa.int32())],
-                                             [*b.schema.names, "range"])
-
-    dealt = narrow.mapInArrow(deal, "host string, path string, mark long, range int")
-    edges = sorted(dealt.groupBy("range").agg(F.min(F.struct("host", "path", "mark")).alias("low"),
-                                              F.max(F.struct("host", "path", "mark")).alias("high")).collect())      # a row a range
-    beside: dict[tuple, list[int]] = {}
-    for low, high in zip(edges, edges[1:]):
-        beside.setdefault(tuple(low["high"]), []).append(high["range"])
-        beside.setdefault(tuple(high["low"]), []).append(low["range"])
+            for at, high, host, path, mark, content, sign in zip(*(c.to_pylist() for c in b.columns)):
+                found[at, high] = extend(found.get((at, high)), ((host, path, mark, content), sign), high)
+        yield packed(found)
+
+    def packed(found: dict[tuple[int, bool], Ends]) -> pa.RecordBatch:
+        rows = [(at, high, *place, sign) for (at, high), ends in found.items() for place, sign in filter(None, ends)]
+        types = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                          ["range", "high", "host", "path", "mark", "content", "sign"])
+
+    end_schema = "range int, high boolean, host string, path string, mark long, content long, sign binary"
+    ends = keyed.select("host", "path", "mark", "content", "html").mapInArrow(ends_of, end_schema).repartition(n, "range").mapInArrow(merged, end_schema)
+    outer: dict[tuple[int, bool], list[tuple[Place, bytes]]] = {}
+    for r in ends.collect():                             # four rows a range
+        outer.setdefault((r["range"], r["high"]), []).append(((r["host"], r["path"], r["mark"], r["content"]), bytes(r["sign"])))
+    beside: dict[Place, set[int]] = {}
+    for high in (True, False):
+        # what lies before a range (or after it): the nearest page of all ranges there, and the nearest unlike that one
+        so_far: Ends | None = None
+        for at in range(len(borders) + 1) if high else range(len(borders), -1, -1):
+            for place, _ in filter(None, so_far or ()):
+                beside.setdefault(place, set()).add(at)
+            for one in outer.get((at, high), ()):
+                so_far = extend(so_far, one, high)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, to, home = [], [], []
-            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "path", "mark")))):
-                at = bisect_right(borders, row)
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "path", "mark", "content")))):
+                at = bisect_right(borders, row[:3])
                 for r in (at, *beside.get(row, ())):
                     take.append(i)
                     to.append(r)
@@ -268,38 +343,56 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
                                              [*b.schema.names, "range", "home"])
 
     kind = pages.schema[key].dataType.simpleString()
-    sent = keyed.mapInArrow(send, f"key {kind}, url string, html string, host string, path string, mark long, range int, home boolean")
+    sent = keyed.mapInArrow(send, f"key {kind}, url string, html string, host string, path string, mark long, content long, range int, home boolean")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for part in slices(batches, "html"):
                 yield from part.to_pylist()
 
-        def emit(done: list[tuple[Page, str]]) -> pa.RecordBatch:
-            texts = [t for _, t in done]
+        def texts() -> Iterator[tuple]:
+            before: Run | None = None
+            here: Run | None = None
+            at = None
+            for row in rows():
+                if row["range"] != at:
+                    if here:
+                        yield from here.texts(before, None)
+                    at, before, here = row["range"], None, None
+                page = Page(row["host"], row["path"], row.pop("html"))
+                if not page.blocks or not page.host:
+                    if row["home"]:
+                        yield row["key"], row["url"], page.without(None)
+                    continue
+                if here is None or (page.host, page.sign) != (here.page.host, here.page.sign):
+                    new = Run(page)
+                    if here:
+                        yield from here.texts(before, new)
+                    before, here = here, new
+                here.last = page.path
+                if row["home"]:
+                    here.rows.append((row["key"], row["url"], page.path))
+            if here:
+                yield from here.texts(before, None)
+
+        def emit(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([p.row["key"] for p, _ in done], key_type), pa.array([p.row["url"] for p, _ in done], pa.string()),
-                 pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64())],
+                [pa.array([k for k, _, _ in done], key_type), pa.array([u for _, u, _ in done], pa.string()),
+                 pa.array([t.encode("utf-8", "replace").decode() for _, _, t in done], pa.string()), pa.array([len(t) for _, _, t in done], pa.int64())],
                 ["key", "url", "text", "n_chars"])
 
-        done: list[tuple[Page, str]] = []
-        size, before, here = 0, None, None
-        for row in chain(rows(), [None]):
-            after = Page(row) if row else None
-            if here:
-                same = [p if p and p.row["range"] == here.row["range"] else None for p in (before, after)]
-                if here.row["home"]:
-                    done.append((here, here.text(*same)))
-                    size += len(done[-1][1])
-                    here.row["html"] = None
-                    if len(done) >= 500 or size > 4_000_000:
-                        yield emit(done)
-                        done, size = [], 0
-            before, here = here, after
+        done: list[tuple] = []
+        size = 0
+        for row in texts():
+            done.append(row)
+            size += len(row[2])
+            if len(done) >= 500 or size > 4_000_000:
+                yield emit(done)
+                done, size = [], 0
         if done:
             yield emit(done)
 
     key_type = to_arrow_type(pages.schema[key].dataType)
-    found = (sent.repartition(n, "range").sortWithinPartitions("range", "host", "path", "mark", "html")
+    found = (sent.repartition(n, "range").sortWithinPartitions("range", "host", "path", "mark", "content")
              .mapInArrow(extract, f"key {kind}, url string, text string, n_chars long"))
     return found.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")
