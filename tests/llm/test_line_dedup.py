@@ -1,3 +1,4 @@
+import random
 import re
 import struct
 from collections import defaultdict
@@ -74,3 +75,37 @@ def test_columns_and_empty_tables(awkward, empty):
     got = LD.line_dedup(awkward)
     assert got.columns == [*awkward.columns, "n_chunks_", "n_removed_"] and got.count() == awkward.count()
     assert LD.line_dedup(empty).count() == 0
+
+
+def test_planted_passages_of_short_lines_go(spark):
+    """Passages of 50 to 100 words in lines of any length, between short lines, with the parameters of the query."""
+    rng = random.Random(3)
+
+    def line(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    passages = [[line(w) for _ in range(n)] for n, w in [(6, 10), (3, 20), (10, 10), (2, 30), (4, 24)] * 12]
+    whole = [(i, p, [line(4), *p, line(5)]) for i, p in enumerate(passages)]
+    rows = [(i, "\n".join(x)) for i, _, x in whole]
+    rows += [(100 + i, "\n".join(["", line(3), p[0], "", *p[1:], line(6), line(2)])) for i, p, _ in whole]
+    rows += [(200, "\n".join(passages[0] + [line(7)] + passages[0])), (201, passages[1][0] + "\n" + passages[1][1][:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in LD.line_dedup(docs).collect()}
+    text = dict(rows)
+    assert all(got[i] == text[i] for i in range(len(passages)))                                      # the first place stays
+    for i, p, _ in whole:
+        kept = text[100 + i].split("\n")
+        assert got[100 + i].split("\n") == kept[:2] + kept[-2:]
+    assert got[200] == text[200].split("\n")[6] and got[201] == text[201]                            # under 25 words stays
+
+
+def test_no_line_is_lost(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"p{i}x{j}" for j in range(rng.randrange(1, 30))) for i in range(40)]
+    rows = [(rng.randrange(60) if i % 9 else None, "\n".join(rng.choice(["", *pool[i:i + 5]]) for i in (rng.randrange(36) for _ in range(rng.randrange(1, 40)))))
+            for i in range(80)]
+    rows += rows[:7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = LD.line_dedup(docs).collect()
+    assert {x for _, t in rows for x in t.split("\n") if x} == {x for r in got for x in r.text.split("\n") if x}
+    assert len(got) == len(rows) and any(r.n_removed_ for r in got)
