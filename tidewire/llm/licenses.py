@@ -1,6 +1,7 @@
 """License scan: normalised passages compared with licence templates by the Dice coefficient of their word bigrams.
 
-Passages are the whole text, its paragraphs, lines and sentences. A coefficient of `least` is out of reach for templates
+Passages are the whole text, its paragraphs, lines and sentences, and beside what these match, runs of consecutive lines and
+sentences that lie within a template's size bounds; only templates of which a text holds enough bigrams are looked for in runs. A coefficient of `least` is out of reach for templates
 whose number of bigrams is too far from the passage's, so only templates within these bounds are looked at; of them, those
 that share too few bigrams fall out of an inverted list before any set is intersected.
 """
@@ -11,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +71,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 ]
 
+#: The disclaimer that follows the conditions of the BSD licences.
+DISCLAIMER = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+              "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+              "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+              "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+              "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+              "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+TEMPLATES += [(name, f"{t} {DISCLAIMER}") for name, t in TEMPLATES if name == "BSD-2-Clause" and t.startswith("Redistribution")]
+#: Full texts, one file a licence.
+TEMPLATES += [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])")
 COPYRIGHT = re.compile(r"^\W*copyright\b.{0,200}$|^\W*\(c\)\s*[0-9]{4}.{0,200}$|^\W*all rights reserved\W*$", re.I)
@@ -110,6 +123,63 @@ class Templates:
         return top if top and top[0] >= self.least else None
 
 
+def pieces(text: str) -> list[tuple[int, list[str]]]:
+    """(line, words) of the sentences of each line, in order, without lines of copyright."""
+    return [(i, w) for i, line in enumerate(text.split("\n")) if not COPYRIGHT.match(line) for part in SENTENCE.split(line) if (w := words(part))]
+
+
+def runs(text: str, table: Templates, matched: list[tuple[int, str]]) -> Iterator[tuple[int, float, str]]:
+    """(line, coefficient, name) of runs of pieces that match a template, no two of which overlap each other or `matched`.
+
+    Of runs that overlap, the one that shares most bigrams stays.
+    """
+    parts = pieces(text)
+    all_words = [x for _, w in parts for x in w]
+    grams = list(zip(all_words, all_words[1:]))
+    need = table.least / (2 - table.least)
+    held = Counter(i for g in set(grams) & table.lists.keys() for i in table.lists[g])
+    wanted = [i for i, n in held.items() if n >= need * table.sizes[i]]
+    if not wanted:
+        return
+    start = [0]
+    for _, w in parts:
+        start.append(start[-1] + len(w))
+    taken = [False] * len(all_words)
+    for line, passage in matched:
+        w = words(passage)
+        at = next((start[k] for k, (i, _) in enumerate(parts) if i >= line), len(all_words))
+        at = next((o for o in range(at, len(all_words) - len(w) + 1) if all_words[o:o + len(w)] == w), None)
+        if at is not None:
+            taken[at:at + len(w)] = [True] * len(w)
+    found: list[tuple[int, float, str, int, int]] = []
+    for t in wanted:
+        own, name = table.sets[t]
+        hit = [any(g in own for g in grams[a:b - 1]) for a, b in zip(start, start[1:])]
+        for first in range(len(parts)):
+            if not hit[first] and len(parts[first][1]) > 1:
+                continue
+            seen: set[tuple[str, str]] = set()
+            shared, best = 0, None
+            for last in range(first, len(parts)):
+                if any(taken[start[last]:start[last + 1]]):
+                    break
+                for g in grams[max(start[first], start[last] - 1):start[last + 1] - 1]:
+                    if g not in seen:
+                        seen.add(g)
+                        shared += g in own
+                if len(seen) * need > len(own):
+                    break
+                dice = 2 * shared / (len(seen) + len(own))
+                if dice >= table.least and (best is None or (dice, -last) > (best[1], -best[4])):
+                    best = shared, dice, name, first, last
+            if best:
+                found.append(best)
+    for _, dice, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[4], x[2])):
+        if not any(taken[start[first]:start[last + 1]]):
+            taken[start[first]:start[last + 1]] = [True] * (start[last + 1] - start[first])
+            yield parts[first][0], dice, name
+
+
 def passages(text: str) -> Iterator[tuple[int, str]]:
     """(number of the first line, passage): the whole text, then paragraphs, lines and sentences that differ from those around them."""
     lines = [line for line in text.split("\n")]
@@ -141,10 +211,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
 
     def look(value: str) -> tuple[int, str, float, str]:
         best: dict[tuple[int, str], float] = {}
+        matched: list[tuple[int, str]] = []
         for line, passage in passages(value):
             if (hit := table.best(bigrams(words(passage)))) is None:
                 continue
             best[line, hit[1]] = max(best.get((line, hit[1]), 0.0), hit[0])
+            matched.append((line, passage))
+        for line, dice, name in runs(value, table, matched):
+            best[line, name] = max(best.get((line, name), 0.0), dice)
         matches = ",".join(f"{name}:{line}:{round(d * 1000)}" for (line, name), d in sorted(best.items()))
         return len(best), ",".join(sorted({n for _, n in best})), max(best.values(), default=0.0), matches
 
