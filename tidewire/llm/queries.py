@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, html_extract, jaccard_join, licenses, line_dedup, packing, personal_data, quality_model, quality_rules, tokens
+from tidewire.llm import decontaminate, hard_negatives, html_extract, jaccard_join, licenses, line_dedup, packing, personal_data, quality_model, quality_rules, tokens, vector_codes, warc
 from tidewire.llm.common import table
+from tidewire.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,6 +130,65 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS row FROM pages),
+n AS (SELECT *, CAST(strlen(html) AS BIGINT) AS n, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, row) AS place,
+             max(page_id) OVER (PARTITION BY html) AS head FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n < 1000 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 1000 AND place > 1 THEN head END AS refers_to FROM n"""
+
+
+@query("op11_warc_archives", OP11_SQL)
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _op12_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS w
+      FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, p, w[len(w) // {parts} * p + 1:len(w) // {parts} * (p + 1)] AS w FROM v, range({parts}) AS t(p)),
+f AS (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, w) - 1 AS e FROM v),
+c0 AS MATERIALIZED (SELECT p, e, w AS c FROM x JOIN f USING (row) WHERE e < {entries})"""]
+    nearest = "SELECT row, p, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(w, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS m FROM x JOIN {} USING (p) GROUP BY row, p"
+    for n in range(vector_codes.ROUNDS):
+        steps.append(f"""a{n} AS MATERIALIZED ({nearest.format(f"c{n}")}),
+s{n} AS (SELECT p, m.e AS e, i, CAST(sum(w[i]) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN x USING (row, p), (SELECT unnest(range(1, len(w) // {parts} + 1)) AS i FROM (SELECT w FROM v LIMIT 1)) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(t.c, o.c) AS c FROM c{n} o LEFT JOIN
+      (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY p, e) t USING (p, e))""")
+    last = f"c{vector_codes.ROUNDS}"
+    steps.append(f"""a AS MATERIALIZED ({nearest.format(last)}),
+r AS (SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM {last})""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (row), h"""
+
+
+@query("op12_vector_codes", _op12_sql())
+def coded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+      list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {hard_negatives.SCALE})) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.row AS a, a.vec_id AS anchor_id, a.label = x.label AS same, x.row AS row, x.vec_id AS vec_id, CAST(list_dot_product(a.q, x.q) AS BIGINT) AS score
+      FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.row <> x.row),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, row) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.a, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+      row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) AS rank
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
