@@ -67,8 +67,69 @@ def test_blocks_of_crowded_buckets(copies, monkeypatch):
     assert sorted(str(tuple(r)) for r in JJ.jaccard_components(copies).collect()) == sorted(map(str, want))
 
 
+def placed(rng, segments, m):
+    """Hashes in the given segments of m."""
+    low = rng.integers(0, 1 << 32, len(segments)).astype(np.uint64)
+    segments = np.array(segments, np.uint64)
+    high = (segments << np.uint64(32)) // np.uint64(m) + np.uint64(1)
+    return np.sort(high << np.uint64(32) | low)
+
+
+def meet(x, y):
+    h = (len(x) + len(y)) // 7
+    band = int(np.searchsorted(JJ.TOPS, h))
+    assert band in JJ.bands_of(len(x)) and band in JJ.bands_of(len(y))
+    (a, sure_a), (b, sure_b) = JJ.signatures(x, band), JJ.signatures(y, band)
+    assert len(np.intersect1d(a, b)) >= max(sure_a, sure_b, 1)
+
+
+def spreads(n, m):
+    """All ways of n equal elements over m segments."""
+    if m == 1:
+        yield [n]
+        return
+    for first in range(n + 1):
+        for rest in spreads(n - first, m - 1):
+            yield [first, *rest]
+
+
+def test_small_linked_sets_meet_wherever_their_elements_fall():
+    rng, tried = np.random.default_rng(2), 0
+    for both in range(3, 10):
+        for only_x in range(3):
+            for only_y in range(only_x, 4):
+                h = (2 * both + only_x + only_y) // 7
+                if not 0 < only_x + only_y <= h or 100 * both < 75 * (both + only_x + only_y):
+                    continue
+                m = JJ.BANDS[int(np.searchsorted(JJ.TOPS, h))][1]
+                for common in spreads(both, m):
+                    shared = placed(rng, np.repeat(np.arange(m), common), m)
+                    for a in spreads(only_x, m):
+                        for b in spreads(only_y, m):
+                            x = np.union1d(shared, placed(rng, np.repeat(np.arange(m), a), m))
+                            y = np.union1d(shared, placed(rng, np.repeat(np.arange(m), b), m))
+                            meet(x, y)
+                            tried += 1
+    assert tried > 10_000
+
+
+def test_larger_linked_sets_in_few_segments_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        both = int(rng.integers(9, 200))
+        h = int(rng.integers(1, both // 3 + 1))
+        only_x = int(rng.integers(0, h + 1))
+        if 100 * both < 75 * (both + h):
+            continue
+        m = JJ.BANDS[int(np.searchsorted(JJ.TOPS, (2 * both + h) // 7))][1]
+        used = rng.choice(m, int(rng.integers(1, m + 1)), replace=False)
+        shared = placed(rng, rng.choice(used, both), m)
+        x = np.union1d(shared, placed(rng, rng.choice(used, only_x), m))
+        y = np.union1d(shared, placed(rng, rng.integers(0, m, h - only_x), m))
+        meet(x, y)
+
+
 def test_linked_sets_meet_often_enough():
-    """The pigeonhole itself: sets that link share at least m - h/v segments, counting those empty in both."""
     rng = np.random.default_rng(1)
     for _ in range(300):
         n = int(rng.integers(4, 400))
@@ -77,14 +138,19 @@ def test_linked_sets_meet_often_enough():
         y = np.unique(np.concatenate([x[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)]))
         x = np.unique(x)
         both = len(np.intersect1d(x, y))
-        h = (len(x) + len(y)) // 7
-        if h == 0 or 100 * both < 75 * (len(x) + len(y) - both):
-            continue
-        band = int(np.searchsorted(JJ.TOPS, h))
-        assert band in JJ.bands_of(len(x)) and band in JJ.bands_of(len(y))
-        (a, empty_a), (b, empty_b) = JJ.signatures(x, band), JJ.signatures(y, band)
-        _, m, v = JJ.BANDS[band]
-        assert len(np.intersect1d(a, b)) >= m - h // v - min(empty_a, empty_b)
+        if (len(x) + len(y)) // 7 and 100 * both >= 75 * (len(x) + len(y) - both):
+            meet(x, y)
+
+
+def test_texts_whose_shingles_share_one_segment_are_linked(spark):
+    rng, rows = random.Random(11), []
+    while len(rows) < 12:
+        words = [f"v{rng.randrange(10 ** 6)}" for _ in range(12)]
+        x, y = shingle_set(" ".join(words)), shingle_set(" ".join(words[:10]))
+        if len({int(h >> np.uint64(32)) * 3 >> 32 for h in x}) == 1 and len(x) == 8 and len(y) == 6:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:10]))]
+    got = {r.doc_id: r.component_id for r in JJ.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
 
 
 def test_awkward_and_empty(awkward, empty):

@@ -3,11 +3,16 @@
 Two sets of sizes s and t with J >= 3/4 differ in at most h = (s + t) / 7 elements. The universe is hashed into m segments;
 m depends on the band of h. With m > h segments at least m - h of them are equal in both sets, so the sets meet under the
 signature of one of them. Small sets take half as many segments and also file each one under all its one-deletion
-neighbours, which finds segments that differ in one element: at least m - h/2 of them. Where that is cheaper is decided
-by the number and the length of the signatures (`bands`).
+neighbours, which finds segments that differ in one element. Where that is cheaper is decided by the number and the length
+of the signatures (`bands`).
 
-m is a quarter larger than need be, so a pair meets several times: at least m - h less the segments empty in both. A set
-can therefore do without as many of its segments, less one, and spends this allowance on the costliest, those that most
+Empty segments are not filed. How often a set is certain to meet any linked one follows from its own segments (`certain`):
+each element of difference spoils a segment at most; with neighbours it takes two, or one where the segment holds a single
+element. m is a quarter larger than need be, so that this is well above 1 for all but a few small sets, whose elements fall
+into few segments. Those also file the elements of their prefix, a quarter of them and one in the order of their hashes: two
+linked sets share one (prefix filtering), so two such sets meet there.
+
+A set can do without as many of its certain meetings, less one, and spends this allowance on the costliest, those that most
 other sets share; who meets less often than that bound is no candidate at all. Candidates are verified on whole texts.
 
 Copies (equal sets) are one class from the start. Every class first compares itself with one other, of those it meets the
@@ -58,8 +63,24 @@ def bands_of(n: int) -> range:
     return range(int(np.searchsorted(TOPS, max(low, 1))), int(np.searchsorted(TOPS, high)) + 1) if high else range(0)
 
 
+def certain(n: int, filled: int, single: int, band: int) -> int:
+    """The signatures that a set of n elements is certain to share with any set it links with in this band, by its segments alone.
+
+    `filled` of them hold anything, `single` a single element.
+    """
+    top, _, v = BANDS[band]
+    apart = min((n + 4 * n // 3) // 7, top)
+    if v == 1:
+        return max(0, filled - apart)
+    lost = min(single, apart)
+    return max(0, filled - lost - min((apart - lost) // 2, filled - single))
+
+
 def signatures(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """Signatures of the segments that hold anything (with neighbours where the band has them), and how many are empty."""
+    """Signatures of the segments that hold anything (with neighbours where the band has them), and how many are certain to be shared.
+
+    Where none is, the elements of the prefix are added.
+    """
     _, m, v = BANDS[band]
     segment = (hashes >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
@@ -67,12 +88,15 @@ def signatures(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     total = np.add.reduceat(own, start)
     salt = mix(segment * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
     found = mix(total + salt[start])
+    size = np.diff(np.append(start, len(hashes)))
     if v == 2:
-        size = np.diff(np.append(start, len(hashes)))
         less = np.repeat(total, size) - own
         alone = np.repeat(size, size) == 1                      # what is left would be the empty segment
         found = np.concatenate([found, mix(less + salt)[~alone]])
-    return found, m - len(start)
+    sure = certain(len(hashes), len(start), int((size == 1).sum()), band)
+    if not sure:
+        found = np.concatenate([found, mix(own[:len(hashes) // 4 + 1] ^ np.uint64(0xD1B54A32D192ED03) + np.uint64(band + 1))])
+    return found, sure
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -103,7 +127,7 @@ def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     """Signatures, packed: a row for each part and flush, with the classes they belong to. A task files each set once."""
-    entry = np.dtype([("cls", "<i8"), ("n", "<u4"), ("empty", "<u4"), ("band", "u1")])
+    entry = np.dtype([("cls", "<i8"), ("n", "<u4"), ("sure", "<u4"), ("band", "u1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -135,9 +159,9 @@ def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     continue
                 seen.add(cls)
                 for band in bands_of(len(hashes)):
-                    sig, empty = signatures(hashes, band)
+                    sig, sure = signatures(hashes, band)
                     found.append(sig)
-                    entries.append((cls, len(hashes), empty, band))
+                    entries.append((cls, len(hashes), sure, band))
                     total += len(sig)
                 if total >= GATHERED or len(entries) >= 60_000:
                     yield flush()
@@ -150,13 +174,13 @@ def filed(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
 
 def meetings(packed: DataFrame, parts: int) -> DataFrame:
-    """(bucket, weight, shared, band, cls, n, empty): who meets under one signature.
+    """(bucket, weight, shared, band, cls, n, sure): who meets under one signature.
 
     One row per class and list of classes; a list that occurs under several signatures of a part is kept once, with their
     number as weight. `shared` is the length of the list.
     """
-    entry = np.dtype([("cls", "<i8"), ("n", "<u4"), ("empty", "<u4"), ("band", "u1")])
-    schema = "bucket long, weight int, shared int, band int, cls long, n long, empty int"
+    entry = np.dtype([("cls", "<i8"), ("n", "<u4"), ("sure", "<u4"), ("band", "u1")])
+    schema = "bucket long, weight int, shared int, band int, cls long, n long, sure int"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def find(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +218,7 @@ def meetings(packed: DataFrame, parts: int) -> DataFrame:
             bucket = sig[start[p]].astype(np.int64) | part << 40
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
                 np.repeat(bucket, size[p]), np.repeat(w, size[p]).astype(np.int32), np.repeat(size[p], size[p]).astype(np.int32),
-                who["band"].astype(np.int32), who["cls"], who["n"].astype(np.int64), who["empty"].astype(np.int32))], names)
+                who["band"].astype(np.int32), who["cls"], who["n"].astype(np.int64), who["sure"].astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
@@ -245,6 +269,10 @@ def at_band(band: str, what: int) -> Column:
     return F.element_at(F.array(*[F.lit(b[what]) for b in BANDS]), F.col(band) + 1)
 
 
+def most_apart() -> Column:
+    return F.least(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7), at_band("band", 0))
+
+
 def first_candidates(met: DataFrame) -> DataFrame:
     """One pair (a, b) for each class b: with the class it meets most often among the hubs of its buckets.
 
@@ -255,8 +283,8 @@ def first_candidates(met: DataFrame) -> DataFrame:
     ranked = met.join(degree.select("cls", "degree"), "cls")
     hub = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "n")).alias("hub")), "hubs")
     pair = met.join(hub, "bucket").where("cls <> hub.cls AND 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-    votes = pair.groupBy("cls", "n", "empty", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_hub"), "band").agg(F.sum("weight").alias("w"))
-    enough = at_band("band", 1) - F.floor((F.col("n") + F.col("n_hub")) / 7 / at_band("band", 2)) - F.col("empty")
+    votes = pair.groupBy("cls", "n", "sure", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_hub"), "band").agg(F.sum("weight").alias("w"))
+    enough = F.when(F.col("sure") > 0, F.col("sure") + F.floor((most_apart() - F.floor((F.col("n") + F.col("n_hub")) / 7)) / at_band("band", 2))).otherwise(1)
     votes = votes.where((F.col("w") >= enough) & (F.col("band") == band_of("n", "n_hub")))
     return votes.groupBy("cls").agg(F.max(F.struct("w", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("cls").alias("b"))
 
@@ -274,8 +302,7 @@ def other_candidates(met: DataFrame, roots: DataFrame, classes: DataFrame) -> Da
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
     rows = rooted.join(mixed, "bucket", "left_semi")
     # a pair meets at least so often, so each class can pass over its most crowded meetings but for that many
-    most = F.least(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7), at_band("band", 0))
-    least = F.greatest(at_band("band", 1) - F.floor(most / at_band("band", 2)) - F.col("empty"), F.lit(1))
+    least = F.greatest(F.col("sure"), F.lit(1))
     crowded = Window.partitionBy("cls", "band").orderBy(F.desc("shared"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("from_here", F.sum("weight").over(crowded)).where(F.col("from_here") >= least)
     blocks = F.ceil(F.col("shared") / BLOCK).cast("int")
