@@ -121,6 +121,11 @@ def features_of_assigned(
     flows = _flow_sums(narrow).filter(F.col("total_packets") >= min_packets)
     if "entropy" in groups:
         flows = flows.join(payload_entropies(assigned, in_chunks), FLOW_ID, "left")
+    return features_of_sums(flows, wanted)
+
+
+def features_of_sums(flows: DataFrame, wanted: list[str] = FEATURE_NAMES) -> DataFrame:
+    """Identity columns and `features` from one row of sums per flow."""
     definitions = _definitions()
     return flows.select(
         *IDENTITY, F.struct(*[definitions[n].cast("float").alias(n) for n in wanted]).alias("features"))

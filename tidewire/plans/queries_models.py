@@ -265,7 +265,7 @@ def stream_flush(spark, sf_dir):
     """Every flow that ever opened is closed once, by teardown, idle time or the final heartbeat."""
     stream = SF.assign_flow_stream(SF.packet_stream(spark, _landed(spark, sf_dir), files_per_batch=1), RULES)
     rows = _run(spark, stream, "stream-flush")[0].filter("kind = 'closed'")
-    return rows.select(P.flow_id().alias("flow_id"), "start_us", "n_packets", "gap_sum")
+    return rows.select(P.flow_id().alias("flow_id"), "start_us", F.col("total_packets").alias("n_packets"), "gap_sum")
 
 
 @query("stream_late", f"WITH {PK} SELECT count(*) AS dropped, count(*) AS kept FROM packets")

@@ -1,7 +1,7 @@
 """Flows on an unbounded table of packets.
 
 `packet_stream` reads packets as they land. `assign_flow_stream` gives each packet its flow by the same rules as
-the batch plan; state per conversation is a few numbers plus the packets the watermark has not passed yet.
+the batch plan; state per conversation is what `state` describes: sums, and packets the watermark has not passed yet.
 `stream_flow_stats` needs no custom state at all: idle-only sessions by `session_window`.
 
 A stream ends flows when the watermark passes; `heartbeat` lands a row far ahead in time to flush everything.
@@ -9,21 +9,23 @@ A stream ends flows when the watermark passes; `heartbeat` lands a row far ahead
 
 from __future__ import annotations
 
-import io
 import threading
 import time
 from collections.abc import Iterator
+from dataclasses import astuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.packets import flow_id, with_flow_key
 from tidewire.operators.flows import FlowRules
-from tidewire.schemas import ACK, FIN, FLOW_KEY, PACKETS, RST, SYN, TCP, fields
+from tidewire.schemas import FLOW_KEY, PACKETS, TCP, fields
+from tidewire.streaming.state import MAX_GAPS, STATE, SUMMARY, FlowState, Rows, closings
 
 HEARTBEAT_SEQ = -1
 DEFAULT_DELAY = "10 seconds"
@@ -56,93 +58,184 @@ KEY_FIELDS = [T.StructField("lo_ip", T.StringType()), T.StructField("lo_port", T
               T.StructField("hi_ip", T.StringType()), T.StructField("hi_port", T.IntegerType()),
               T.StructField("protocol", T.IntegerType())]
 CARRIED = ["packet_seq", "ts_us", "from_lo", "length", "payload_len", "tcp_flags", "payload"]
-OUT = T.StructType(KEY_FIELDS + fields(
-    "kind string, flow_seq bigint, packet_seq bigint, ts_us bigint, from_lo boolean, length int, payload_len int, "
-    "tcp_flags int, payload binary, is_fwd boolean, iat_us bigint, chunk int, start_us bigint, n_packets bigint, "
-    "gap_sum bigint, gap_n bigint"))
-# flow_seq -1: nothing open
-STATE = T.StructType(fields(
-    "flow_seq bigint, start_us bigint, last_us bigint, start_lo boolean, fin boolean, n_packets bigint, "
-    "gap_sum bigint, waiting binary"))
-NO_FLOW = -1
-
-
-def _pack(rows: pd.DataFrame) -> bytes:
-    buffer = io.BytesIO()
-    rows.to_parquet(buffer, index=False)
-    return buffer.getvalue()
-
-
-def _stepper(tcp_us: int, other_us: int, teardown: bool, chunk_rows: int):
-    out_columns = OUT.names
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit = tcp_us if key[4] == TCP else other_us
-        flow, start, last, side, fin, n, gap_sum, waiting = (
-            state.get if state.exists else (NO_FLOW, 0, 0, True, False, 0, 0, None))
-        parts = [] if state.hasTimedOut else [b[CARRIED] for b in batches]
-        if waiting:
-            parts.append(pd.read_parquet(io.BytesIO(waiting)))
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=CARRIED)
-        # only what the watermark has passed is final in order; the rest waits
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready = rows[rows["ts_us"] <= passed].sort_values(["ts_us", "packet_seq"], kind="stable")
-        rest = rows[rows["ts_us"] > passed]
-        out = []
-
-        def close():
-            out.append((*key, "closed", flow, None, None, None, None, None, None, None, None, None,
-                        (n - 1) // chunk_rows, start, n, gap_sum, n - 1))
-
-        for seq, ts, from_lo, length, payload_len, flags, payload in ready.itertuples(index=False):
-            if flow != NO_FLOW and ts - last > limit:
-                close()
-                flow = NO_FLOW
-            opens = flow == NO_FLOW
-            gap = None if opens else ts - last
-            if opens:
-                flow, start, side, fin, n, gap_sum = seq, ts, from_lo, False, 0, 0
-            else:
-                gap_sum += gap
-            n, last = n + 1, ts
-            out.append((*key, "packet", flow, seq, ts, from_lo, length, payload_len, flags, payload, from_lo == side,
-                        gap, (n - 1) // chunk_rows, None, None, None, None))
-            if teardown and key[4] == TCP and not opens:
-                if (fin and flags & ACK and not flags & SYN) or flags & RST:
-                    close()
-                    flow = NO_FLOW
-                elif flags & FIN:
-                    fin = True
-        if flow != NO_FLOW and rest.empty and passed - last > limit:
-            close()
-            flow = NO_FLOW
-        if flow == NO_FLOW and rest.empty:
-            state.remove()
-        else:
-            state.update((flow, start, last, bool(side), bool(fin), n, gap_sum, _pack(rest) if len(rest) else None))
-            due = int(rest["ts_us"].min()) if len(rest) else last + limit
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            frame = pd.DataFrame(out, columns=out_columns)
-            for name in ("packet_seq", "ts_us", "length", "payload_len", "tcp_flags", "iat_us", "start_us", "n_packets",
-                         "gap_sum", "gap_n"):
-                frame[name] = frame[name].astype("Int64")
-            yield frame
+OUT = T.StructType(KEY_FIELDS + fields(f"kind string, flow_seq bigint, packet_seq bigint, ts_us bigint, is_fwd boolean, iat_us bigint, {SUMMARY}"))
+N_SUMMARY = len(SUMMARY.split(","))
+#: Waiting packets of one conversation are kept by stretches of time, so many to the idle limit.
+BUCKETS = 16
+_WHOLE = {f.name: "Int64" if f.dataType.simpleString() == "bigint" else "Int32" for f in OUT if f.dataType.simpleString() in ("bigint", "int")}
+
+
+class Flows(StatefulProcessor):
+    """One conversation: packets wait until the watermark passes them, then join the open flow in order of time.
+
+    State: the open flow (sums only), the gaps of the open flow (a list of arrays, for `active_time`), and waiting packets by
+    bucket of time. One bucket is in memory at a time, however long the conversation is.
+    """
+
+    def __init__(self, tcp_us: int, other_us: int, teardown: bool, packets: bool):
+        self.tcp_us, self.other_us, self.teardown, self.packets = tcp_us, other_us, teardown, packets
 
-    return step
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", STATE)
+        self.gaps = handle.getListState("gaps", "data binary")
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "at binary, data binary")
 
+    def close(self) -> None:
+        pass
 
-def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Rows of two kinds: `packet` (with its flow) and `closed` (a flow that just ended, with its totals).
+    def handleInputRows(self, key, rows, timerValues):                      # the engine passes these by name
+        width = self.width(key)
+        for frame in rows:
+            new = Rows.of(frame)
+            bucket = new.at["ts"] // width
+            for b in np.unique(bucket).tolist():
+                at, data = new.take(np.flatnonzero(bucket == b)).packed()
+                if self.waiting.containsKey((b,)):
+                    old = self.waiting.getValue((b,))
+                    at, data = old[0] + at, old[1] + data
+                self.waiting.updateValue((b,), (at, data))
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
+
+    def limit(self, key: tuple) -> int:
+        return self.tcp_us if key[4] == TCP else self.other_us
+
+    def width(self, key: tuple) -> int:
+        return max(self.limit(key) // BUCKETS, 1)
+
+    def advance(self, key: tuple, passed: int, expired: int | None) -> Iterator[pd.DataFrame]:
+        """Counts all packets the watermark has passed; what came before them is complete."""
+        width, stored = self.width(key), self.flow.get() if self.flow.exists() else None
+        flow, timer = None, None
+        if stored is not None:
+            *values, timer = stored
+            flow = FlowState(*[bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in values]) if values[0] is not None else None
+        if timer is not None and timer == expired:
+            timer = None
+        buckets = sorted(b[0] for b in self.waiting.keys())
+        rest = [b for b in buckets if b * width > passed]
+        first = rest[0] * width if rest else None
+        for b in buckets[:len(buckets) - len(rest)]:
+            rows = Rows.unpacked(*map(bytes, self.waiting.getValue((b,)))).in_order()
+            ready = int(np.searchsorted(rows.at["ts"], passed, side="right"))
+            if ready < len(rows.at):
+                first = int(rows.at["ts"][ready])
+                self.waiting.updateValue((b,), rows.take(np.arange(ready, len(rows.at))).packed())
+            else:
+                self.waiting.removeKey((b,))
+            if ready:
+                flow, out = self.counted(key, flow, rows.take(np.arange(ready)))
+                yield from out
+        if flow is not None and passed - flow.last_us > self.limit(key):
+            yield self.frame([self.closed(key, flow, [])])
+            flow = None
+        due = [x for x in (first, None if flow is None else flow.last_us + self.limit(key)) if x is not None]
+        want = max(min(due) // 1000 + 1, passed // 1000 + 1) if due else None
+        if timer is not None and timer != want:
+            self.handle.deleteTimer(timer)
+        if want is not None and timer != want:
+            self.handle.registerTimer(want)
+        if flow is None and want is None:
+            self.flow.clear()
+            self.waiting.clear()
+        else:
+            self.flow.update((*(astuple(flow) if flow is not None else [None] * (len(STATE.split(",")) - 1)), want))
+
+    def counted(self, key: tuple, flow: FlowState | None, rows: Rows) -> tuple[FlowState | None, list[pd.DataFrame]]:
+        """The flow that is open after the packets, and rows of packets and of flows that closed."""
+        ts, flags, limit = rows.at["ts"], rows.at["flags"], self.limit(key)
+        gap = np.diff(ts, prepend=ts[0] if flow is None else flow.last_us)
+        idle = gap > limit
+        closes, fin = np.zeros(len(ts), bool), False
+        if self.teardown and key[4] == TCP:
+            closes, fin = closings(ts, flags, idle, flow is not None, flow is not None and flow.fin)
+        starts = idle.copy()
+        starts[1:] |= closes[:-1]
+        starts[0] |= flow is None
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(starts)])).tolist()
+        done, parts, kept = [], [], []
+        for a, b in zip(cuts, [*cuts[1:], len(ts)]):
+            if starts[a]:
+                if flow is not None:
+                    done.append(self.closed(key, flow, kept))
+                    kept = []
+                flow = FlowState(int(rows.at["seq"][a]), int(ts[a]), int(ts[a]), bool(rows.at["lo"][a]))
+            here = np.arange(a, b)
+            fwd = (rows.at["lo"][a:b] > 0) == flow.fwd_lo
+            gaps = gap[a + 1:b] if starts[a] else gap[a:b]
+            flow.add(rows.take(here), fwd, gaps)
+            kept.append(gaps)
+            if self.packets:
+                parts.append((flow.flow_seq, a, b, fwd, bool(starts[a])))
+            if closes[b - 1]:
+                done.append(self.closed(key, flow, kept))
+                flow, kept = None, []
+        if flow is not None:
+            flow.fin = fin
+            self.remember(flow, kept)
+        out = [self.shown(key, rows, gap, parts)] if parts else []
+        return flow, out + ([self.frame(done)] if done else [])
+
+    def remember(self, flow: FlowState, kept: list[np.ndarray]) -> None:
+        """Gaps of the open flow, one by one while they are few."""
+        new = np.concatenate(kept).astype("<i8") if kept else np.zeros(0, "<i8")
+        if flow.n_gaps > MAX_GAPS:
+            if not flow.gap_sizes:
+                flow.add_sizes(np.zeros(0, np.int64))
+                for old in self.old_gaps():
+                    flow.add_sizes(old)
+                self.gaps.clear()
+            flow.add_sizes(new)
+        elif len(new):
+            self.gaps.appendValue((new.tobytes(),))
+
+    def old_gaps(self) -> Iterator[np.ndarray]:
+        for (data,) in self.gaps.get() if self.gaps.exists() else ():
+            yield np.frombuffer(bytes(data), "<i8")
+
+    def closed(self, key: tuple, flow: FlowState, kept: list[np.ndarray]) -> tuple:
+        if flow.gap_sizes:
+            for new in kept:
+                flow.add_sizes(new)
+        row = (*key, "closed", flow.flow_seq, None, None, None, None, *flow.summary([*self.old_gaps(), *kept]))
+        self.gaps.clear()
+        return row
+
+    def shown(self, key: tuple, rows: Rows, gap: np.ndarray, parts: list[tuple]) -> pd.DataFrame:
+        """The counted packets with their flow."""
+        gaps = pd.array(gap, "Int64")
+        gaps[[a for _, a, _, _, opens in parts if opens]] = pd.NA
+        frame = pd.DataFrame({"kind": "packet", "flow_seq": np.repeat([p[0] for p in parts], [p[2] - p[1] for p in parts]), "packet_seq": rows.at["seq"],
+                              "ts_us": rows.at["ts"], "is_fwd": np.concatenate([p[3] for p in parts]), "iat_us": gaps})
+        for name, value in zip(FLOW_KEY, key):
+            frame[name] = value
+        return frame.reindex(columns=OUT.names).astype(_WHOLE)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=OUT.names).astype(_WHOLE)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Flow state needs the RocksDB store; batches write what changed, not whole snapshots."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY, with_packets: bool = True) -> DataFrame:
+    """Rows of two kinds: `packet` (with its flow, unless not asked for) and `closed` (a flow that just ended, with its totals).
 
     In a stream `flow_seq` is the packet_seq of the flow's first packet, so closed conversations leave no state
     behind. Packets may come in any order within the watermark delay; later ones are dropped by the engine.
     """
+    use_rocksdb(packets.sparkSession)
     keyed = with_flow_key(with_event_time(packets, delay))
-    step = _stepper(round(rules.tcp_seconds * 1e6), round(rules.udp_seconds * 1e6), rules.teardown, rules.chunk_rows)
+    processor = Flows(round(rules.tcp_seconds * 1e6), round(rules.udp_seconds * 1e6), rules.teardown, with_packets)
     return (
         keyed.select(*FLOW_KEY, *CARRIED, "ts").groupBy(*FLOW_KEY)
-        .applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(processor, OUT, "append", "eventTime")
         .filter(F.col("flow_seq") != HEARTBEAT_SEQ)
     )
 
@@ -150,8 +243,10 @@ def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay
 def stream_flow_stats(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY) -> DataFrame:
     """Idle-only sessions with counts, bytes and times; no Python state. Exact for UDP and ICMP.
 
-    `session_window` merges packets whose distance is at most the limit, as the batch rule does.
+    `session_window` merges packets whose distance is at most the limit, as the batch rule does. Sessions are merged where
+    packets were read before they are dealt by conversation, so a busy one sends a few sessions, not its packets.
     """
+    packets.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     keyed = with_flow_key(with_event_time(packets, delay))
 
     def interval(seconds):

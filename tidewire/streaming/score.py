@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.packets import flow_id
+from tidewire.functions.scalar import is_dns
 from tidewire.operators import report as R
 from tidewire.operators.explain import explain as explain_rows
-from tidewire.operators.features import features_of_assigned
-from tidewire.operators.flows import FlowRules
+from tidewire.operators.features import features_of_sums
+from tidewire.operators.flows import FlowRules, flow_ends
 from tidewire.operators.model import Trained, predict
-from tidewire.operators.skew import broadcast_if_small
-from tidewire.schemas import FLOW_ID, MIN_PACKETS
-from tidewire.streaming.flows import DEFAULT_DELAY, OUT, assign_flow_stream
+from tidewire.schemas import MIN_PACKETS
+from tidewire.streaming.flows import DEFAULT_DELAY, assign_flow_stream
 
 
-def closed_features(packets: DataFrame, closed: DataFrame, min_packets: int = MIN_PACKETS) -> DataFrame:
-    """Features of the closed flows from their stored packets, by the batch code.
-
-    A flow longer than one chunk brings its gap totals along, so its packets need not meet in one task.
-    """
-    ends = closed.filter(F.col("n_packets") >= min_packets).select(
-        *FLOW_ID, F.col("chunk").alias("chunks"),
-        *[F.when(F.col("chunk") > 0, F.col(c)).alias(f"span_{c}") for c in ("gap_sum", "gap_n")])
-    mine = packets.join(broadcast_if_small(ends), FLOW_ID).drop("chunks")
-    # each piece of a flow into one partition, which byte counting relies on; the windows reuse it
-    return features_of_assigned(mine.repartition(*FLOW_ID, "chunk"), min_packets, in_chunks=True)
+def closed_features(closed: DataFrame, min_packets: int = MIN_PACKETS) -> DataFrame:
+    """Features of closed flows from the sums they bring along, by the definitions of the batch code; no packet is read."""
+    flows = closed.filter(F.col("total_packets") >= min_packets).withColumns({
+        **flow_ends(), "flow_id": flow_id(), "duration_s": F.greatest(F.col("end_us") - F.col("start_us"), F.lit(0)) / F.lit(1e6),
+        "dns_query_entropy": F.when(is_dns(F.col("lo_port"), F.col("hi_port")), F.col("dns_query_entropy")).otherwise(0.0)})
+    return features_of_sums(flows)
 
 
 def score_stream(
@@ -33,31 +29,16 @@ def score_stream(
     min_packets: int = MIN_PACKETS, delay: str = DEFAULT_DELAY, explain: bool = False,
     every: str | None = None,
 ):
-    """Starts the query (what has landed, or on and on with a batch `every` so often): `<path>/packets` keeps packets with their flow, `<path>/alerts` the scored closed flows.
+    """Starts the query (what has landed, or on and on with a batch `every` so often): `<path>/alerts` gets the scored closed flows.
 
-    Each micro-batch overwrites its own folder, so a batch that is run again leaves no doubles.
+    Each micro-batch overwrites its own folder, so a batch that is run again leaves no doubles. Packets are not kept.
     """
-    store, alerts = f"{path}/packets", f"{path}/alerts"
-
     def on_batch(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            rows = batch.filter("kind = 'packet'")
-            rows.write.mode("overwrite").parquet(f"{store}/epoch={number}")
-            closed = batch.filter("kind = 'closed'")
-            first = closed.agg(F.min("start_us")).first()[0]        # one row
-            if first is None:
-                return
-            schema = OUT.fieldNames()
-            # Parquet statistics skip files that end before the oldest flow closing now
-            stored = spark.read.option("basePath", store).schema(OUT).parquet(store).filter(F.col("ts_us") >= first)
-            scored = predict(trained, closed_features(stored.select(*schema), closed, min_packets))
-            found = R.detections(explain_rows(trained, scored) if explain else scored)
-            found.write.mode("overwrite").parquet(f"{alerts}/epoch={number}")
-        finally:
-            batch.unpersist()
+        scored = predict(trained, closed_features(batch, min_packets))
+        found = R.detections(explain_rows(trained, scored) if explain else scored)
+        found.write.mode("overwrite").parquet(f"{path}/alerts/epoch={number}")
 
     return (
-        assign_flow_stream(packets, rules, delay).writeStream.foreachBatch(on_batch)
+        assign_flow_stream(packets, rules, delay, with_packets=False).writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
     )
