@@ -9,10 +9,13 @@ A stream ends flows when the watermark passes; `heartbeat` lands a row far ahead
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 from collections.abc import Iterator
 from dataclasses import astuple
+from dataclasses import fields as fields_of
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,11 +61,11 @@ KEY_FIELDS = [T.StructField("lo_ip", T.StringType()), T.StructField("lo_port", T
               T.StructField("hi_ip", T.StringType()), T.StructField("hi_port", T.IntegerType()),
               T.StructField("protocol", T.IntegerType())]
 CARRIED = ["packet_seq", "ts_us", "from_lo", "length", "payload_len", "tcp_flags", "payload"]
-OUT = T.StructType(KEY_FIELDS + fields(f"kind string, flow_seq bigint, packet_seq bigint, ts_us bigint, is_fwd boolean, iat_us bigint, {SUMMARY}"))
-N_SUMMARY = len(SUMMARY.split(","))
+#: What leaves Python: few columns, as each costs time in every small table; totals of a closed flow are one JSON text.
+OUT = T.StructType(KEY_FIELDS + fields("kind string, flow_seq bigint, packet_seq bigint, ts_us bigint, is_fwd boolean, iat_us bigint, summary string"))
+TOTALS = [f.name for f in fields(SUMMARY)]
 #: Waiting packets of one conversation are kept by stretches of time, so many to the idle limit.
-BUCKETS = 16
-_WHOLE = {f.name: "Int64" if f.dataType.simpleString() == "bigint" else "Int32" for f in OUT if f.dataType.simpleString() in ("bigint", "int")}
+BUCKETS = 8
 
 
 class Flows(StatefulProcessor):
@@ -85,20 +88,24 @@ class Flows(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues):                      # the engine passes these by name
-        width = self.width(key)
+        width, stored = self.width(key), self.flow.get()
+        buckets = set(np.frombuffer(bytes(stored[-1]), np.int64).tolist()) if stored else set()
         for frame in rows:
             new = Rows.of(frame)
             bucket = new.at["ts"] // width
             for b in np.unique(bucket).tolist():
                 at, data = new.take(np.flatnonzero(bucket == b)).packed()
-                if self.waiting.containsKey((b,)):
+                if b in buckets:
                     old = self.waiting.getValue((b,))
                     at, data = old[0] + at, old[1] + data
                 self.waiting.updateValue((b,), (at, data))
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, None)
+                buckets.add(b)
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, buckets, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
+        stored = self.flow.get()
+        buckets = set(np.frombuffer(bytes(stored[-1]), np.int64).tolist()) if stored else set()
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, buckets, expiredTimerInfo.getExpiryTimeInMs())
 
     def limit(self, key: tuple) -> int:
         return self.tcp_us if key[4] == TCP else self.other_us
@@ -106,32 +113,36 @@ class Flows(StatefulProcessor):
     def width(self, key: tuple) -> int:
         return max(self.limit(key) // BUCKETS, 1)
 
-    def advance(self, key: tuple, passed: int, expired: int | None) -> Iterator[pd.DataFrame]:
+    def advance(self, key: tuple, passed: int, stored: tuple | None, buckets: set[int], expired: int | None) -> Iterator[pd.DataFrame]:
         """Counts all packets the watermark has passed; what came before them is complete."""
-        width, stored = self.width(key), self.flow.get() if self.flow.exists() else None
-        flow, timer = None, None
+        width, flow, timer = self.width(key), None, None
         if stored is not None:
-            *values, timer = stored
+            *values, timer, _ = stored
             flow = FlowState(*[bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in values]) if values[0] is not None else None
         if timer is not None and timer == expired:
             timer = None
-        buckets = sorted(b[0] for b in self.waiting.keys())
+        buckets = sorted(buckets)
         rest = [b for b in buckets if b * width > passed]
-        first = rest[0] * width if rest else None
+        first, out = rest[0] * width if rest else None, []
         for b in buckets[:len(buckets) - len(rest)]:
             rows = Rows.unpacked(*map(bytes, self.waiting.getValue((b,)))).in_order()
             ready = int(np.searchsorted(rows.at["ts"], passed, side="right"))
             if ready < len(rows.at):
                 first = int(rows.at["ts"][ready])
+                rest.append(b)
                 self.waiting.updateValue((b,), rows.take(np.arange(ready, len(rows.at))).packed())
             else:
                 self.waiting.removeKey((b,))
             if ready:
-                flow, out = self.counted(key, flow, rows.take(np.arange(ready)))
-                yield from out
+                flow = self.counted(key, flow, rows.take(np.arange(ready)), out)
+            if sum(len(o[0]) for o in out) > 10_000:
+                yield self.frame(key, out)
+                out = []
         if flow is not None and passed - flow.last_us > self.limit(key):
-            yield self.frame([self.closed(key, flow, [])])
+            out.append(self.closed(flow, []))
             flow = None
+        if out:
+            yield self.frame(key, out)
         due = [x for x in (first, None if flow is None else flow.last_us + self.limit(key)) if x is not None]
         want = max(min(due) // 1000 + 1, passed // 1000 + 1) if due else None
         if timer is not None and timer != want:
@@ -140,12 +151,12 @@ class Flows(StatefulProcessor):
             self.handle.registerTimer(want)
         if flow is None and want is None:
             self.flow.clear()
-            self.waiting.clear()
         else:
-            self.flow.update((*(astuple(flow) if flow is not None else [None] * (len(STATE.split(",")) - 1)), want))
+            none = [None] * len(fields_of(FlowState))
+            self.flow.update((*(astuple(flow) if flow is not None else none), want, np.array(rest, np.int64).tobytes()))
 
-    def counted(self, key: tuple, flow: FlowState | None, rows: Rows) -> tuple[FlowState | None, list[pd.DataFrame]]:
-        """The flow that is open after the packets, and rows of packets and of flows that closed."""
+    def counted(self, key: tuple, flow: FlowState | None, rows: Rows, out: list[tuple]) -> FlowState | None:
+        """The flow that is open after the packets; `out` gets the packets and the flows that closed."""
         ts, flags, limit = rows.at["ts"], rows.at["flags"], self.limit(key)
         gap = np.diff(ts, prepend=ts[0] if flow is None else flow.last_us)
         idle = gap > limit
@@ -156,11 +167,11 @@ class Flows(StatefulProcessor):
         starts[1:] |= closes[:-1]
         starts[0] |= flow is None
         cuts = np.unique(np.concatenate([[0], np.flatnonzero(starts)])).tolist()
-        done, parts, kept = [], [], []
+        kept = []
         for a, b in zip(cuts, [*cuts[1:], len(ts)]):
             if starts[a]:
                 if flow is not None:
-                    done.append(self.closed(key, flow, kept))
+                    out.append(self.closed(flow, kept))
                     kept = []
                 flow = FlowState(int(rows.at["seq"][a]), int(ts[a]), int(ts[a]), bool(rows.at["lo"][a]))
             here = np.arange(a, b)
@@ -169,15 +180,18 @@ class Flows(StatefulProcessor):
             flow.add(rows.take(here), fwd, gaps)
             kept.append(gaps)
             if self.packets:
-                parts.append((flow.flow_seq, a, b, fwd, bool(starts[a])))
+                before = gap[a:b].astype(object)
+                if starts[a]:
+                    before[0] = None
+                n = b - a
+                out.append((["packet"] * n, [flow.flow_seq] * n, rows.at["seq"][a:b].tolist(), ts[a:b].tolist(), fwd.tolist(), before.tolist(), [None] * n))
             if closes[b - 1]:
-                done.append(self.closed(key, flow, kept))
+                out.append(self.closed(flow, kept))
                 flow, kept = None, []
         if flow is not None:
             flow.fin = fin
             self.remember(flow, kept)
-        out = [self.shown(key, rows, gap, parts)] if parts else []
-        return flow, out + ([self.frame(done)] if done else [])
+        return flow
 
     def remember(self, flow: FlowState, kept: list[np.ndarray]) -> None:
         """Gaps of the open flow, one by one while they are few."""
@@ -185,37 +199,34 @@ class Flows(StatefulProcessor):
         if flow.n_gaps > MAX_GAPS:
             if not flow.gap_sizes:
                 flow.add_sizes(np.zeros(0, np.int64))
-                for old in self.old_gaps():
+                for old in self.old_gaps(flow):
                     flow.add_sizes(old)
-                self.gaps.clear()
+                self.forget(flow)
             flow.add_sizes(new)
         elif len(new):
             self.gaps.appendValue((new.tobytes(),))
+            flow.listed = True
 
-    def old_gaps(self) -> Iterator[np.ndarray]:
-        for (data,) in self.gaps.get() if self.gaps.exists() else ():
+    def old_gaps(self, flow: FlowState) -> Iterator[np.ndarray]:
+        for (data,) in self.gaps.get() if flow.listed else ():
             yield np.frombuffer(bytes(data), "<i8")
 
-    def closed(self, key: tuple, flow: FlowState, kept: list[np.ndarray]) -> tuple:
+    def forget(self, flow: FlowState) -> None:
+        if flow.listed:
+            self.gaps.clear()
+            flow.listed = False
+
+    def closed(self, flow: FlowState, kept: list[np.ndarray]) -> tuple:
         if flow.gap_sizes:
             for new in kept:
                 flow.add_sizes(new)
-        row = (*key, "closed", flow.flow_seq, None, None, None, None, *flow.summary([*self.old_gaps(), *kept]))
-        self.gaps.clear()
-        return row
-
-    def shown(self, key: tuple, rows: Rows, gap: np.ndarray, parts: list[tuple]) -> pd.DataFrame:
-        """The counted packets with their flow."""
-        gaps = pd.array(gap, "Int64")
-        gaps[[a for _, a, _, _, opens in parts if opens]] = pd.NA
-        frame = pd.DataFrame({"kind": "packet", "flow_seq": np.repeat([p[0] for p in parts], [p[2] - p[1] for p in parts]), "packet_seq": rows.at["seq"],
-                              "ts_us": rows.at["ts"], "is_fwd": np.concatenate([p[3] for p in parts]), "iat_us": gaps})
-        for name, value in zip(FLOW_KEY, key):
-            frame[name] = value
-        return frame.reindex(columns=OUT.names).astype(_WHOLE)
+        summary = json.dumps(dict(zip(TOTALS, flow.summary(chain(self.old_gaps(flow), kept)))))
+        self.forget(flow)
+        return ["closed"], [flow.flow_seq], [None], [None], [None], [None], [summary]
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=OUT.names).astype(_WHOLE)
+    def frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        columns = [list(chain.from_iterable(c)) for c in zip(*out)]
+        return pd.DataFrame(dict(zip(OUT.names, [*([k] * len(columns[0]) for k in key), *columns])), dtype=object)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -237,6 +248,7 @@ def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay
         keyed.select(*FLOW_KEY, *CARRIED, "ts").groupBy(*FLOW_KEY)
         .transformWithStateInPandas(processor, OUT, "append", "eventTime")
         .filter(F.col("flow_seq") != HEARTBEAT_SEQ)
+        .withColumn("summary", F.from_json("summary", T.StructType(fields(SUMMARY)))).select(*OUT.names[:-1], "summary.*")
     )
 
 

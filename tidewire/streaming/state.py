@@ -8,6 +8,7 @@ records with the multiset of their payload bytes and its first twelve; payloads
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, fields as fields_of
 
 import numpy as np
@@ -167,6 +168,7 @@ class FlowState:
     head: bytes = b""
     byte_counts: bytes = b""
     gap_sizes: bytes = b""
+    listed: bool = False
 
     def add(self, rows: Rows, fwd: np.ndarray, gaps: np.ndarray) -> None:
         """Later packets of the flow, with the gaps before them (the packet that opened it has none)."""
@@ -206,7 +208,7 @@ class FlowState:
         np.add.at(table[1], size, gaps)
         self.gap_sizes = table.tobytes()
 
-    def active_us(self, gaps: list[np.ndarray]) -> int:
+    def active_us(self, gaps: Iterable[np.ndarray]) -> int:
         """The sum of the gaps that are no longer than the mean gap."""
         if not self.n_gaps:
             return 0
@@ -217,7 +219,7 @@ class FlowState:
         mean = np.where(n > 0, total / np.maximum(n, 1), np.inf)           # a size is in or out as a whole, by its mean
         return int(total[mean <= limit].sum())
 
-    def summary(self, gaps: list[np.ndarray]) -> tuple:
+    def summary(self, gaps: Iterable[np.ndarray]) -> tuple:
         """The values of `SUMMARY`."""
         n, total = self.total_packets, self.fwd_bytes + self.bwd_bytes
         counts = np.frombuffer(self.byte_counts, np.int64) if self.byte_counts else np.zeros(256, np.int64)
@@ -243,5 +245,5 @@ SUMMARY = ("fwd_lo boolean, start_us bigint, end_us bigint, total_packets bigint
            "len_mean double, len_std double, len_min int, len_max int, n_small bigint, n_gaps bigint, gap_mean double, gap_std double, "
            "gap_min bigint, gap_max bigint, gap_skew double, gap_kurt double, active_us bigint, gap_sum bigint, gaps_rounded boolean, "
            "payload_entropy double, dns_query_entropy double")
-#: The columns of a stored `FlowState`, in its order, and the timer that is set.
-STATE = ", ".join(f"{f.name} " + {"int": "bigint", "bool": "boolean", "float": "double", "bytes": "binary"}[f.type] for f in fields_of(FlowState)) + ", timer bigint"
+#: The columns of a stored `FlowState`, in its order, the timer that is set, and the buckets in which packets wait.
+STATE = ", ".join(f"{f.name} " + {"int": "bigint", "bool": "boolean", "float": "double", "bytes": "binary"}[f.type] for f in fields_of(FlowState)) + ", timer bigint, buckets binary"
