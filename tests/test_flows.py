@@ -3,7 +3,10 @@ import random
 import pytest
 from helpers import packet, packets_df, reference_flows
 
+from tidewire.functions.packets import with_flow_key
+from tidewire.operators import teardown
 from tidewire.operators.flows import FlowRules, assign_flows, find_chunks, long_enough, side_gaps, summarise_flows
+from tidewire.schemas import FLOW_KEY
 
 
 def assigned(spark, rows, **rules):
@@ -91,3 +94,16 @@ def test_gaps_per_direction(spark, chunk_rows):
         last[(key, no)] = last[(key, no, fwd)] = r[1]
     df = side_gaps(assign_flows(packets_df(spark, rows), FlowRules(chunk_rows=chunk_rows)))
     assert {r.packet_seq: (r.iat_us, r.iat_fwd_us, r.iat_bwd_us) for r in df.collect()} == want
+
+
+@pytest.mark.parametrize("block,chunk_rows", [(1, 10_000), (3, 10_000), (2, 9)])
+def test_folded_blocks_of_events_equal_state_machine(spark, monkeypatch, block, chunk_rows):
+    monkeypatch.setattr(teardown, "BLOCK", block)
+    rows = random_rows(17, 400, keys=2, gap_s=30)
+    assert assigned(spark, rows, chunk_rows=chunk_rows) == reference_flows(rows)
+
+
+def test_teardown_stays_in_the_engine(spark):
+    keyed = with_flow_key(packets_df(spark, random_rows(3, 50))).selectExpr("*", "120000000L AS idle_us", "0 AS entry")
+    plan = teardown.closings(keyed, FLOW_KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -2,100 +2,61 @@
 
 Inside a run of packets without an idle gap, closing is sequential: a RST closes at once; a FIN waits for the
 next ACK without SYN; the packet that opens a conversation never closes it. Windows find each packet's
-neighbours; only the rows with FIN or RST, a small share of all packets, pass through the scan below.
+neighbours; only the packets with FIN or RST, a small share of all, are folded, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewire.functions.scalar import has_flag
 from tidewire.schemas import ACK, FIN, RST, SYN, TCP
 
 # what may be known about the conversation before the first packet of a chunk
 NOTHING_OPEN, OPEN, FIN_SEEN = 0, 1, 2
+# before an event: nothing is open, so that it opens a conversation itself
+OPENS = NOTHING_OPEN
+# events folded at a time
+BLOCK = 512
 
 
-def closing_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FIN and RST rows, ordered by conversation and position, to one row per closing packet.
+def _bound(value: str, name: str, use: str) -> str:
+    """`use`, in which `name` stands for the value; the value is worked out once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def _state(opened: str, waits: str, cuts: str) -> str:
+    return f"named_struct('opened', {opened}, 'waits', {waits}, 'cuts', {cuts})"
+
+
+def _closed(acc: str, by: str) -> str:
+    """The state after the packet `by` has closed the conversation."""
+    return _state(f"{by}.n + 1", f"cast(null as {PLACE})", f"concat({acc}.cuts, array(named_struct('ts', {by}.ts, 'seq', {by}.seq)))")
 
-    State carried along: the run, the position that opened the current conversation, and the ACK a seen FIN
-    waits for. Memory is one batch.
-    """
-    run, last_n = None, 0
-    opened = 0              # position of the opening packet in the run
-    waiting = None          # position of the ACK that will close, when a FIN was seen
-    held = None             # row that named that ACK, when it came with an earlier batch
-    names = None
-
-    for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in
-                ("run_seq", "run_n", "n", "tcp_flags", "run_entry", "ts_us", "packet_seq",
-                 "ack_n", "ack_ts", "ack_seq")}
-        if names is None:
-            names = [n for n in batch.schema.names if n not in cols or n in ("ts_us", "packet_seq")]
-        rows, ts, seq, carried = [], [], [], []
-
-        def close_waiting(source, cols=cols, rows=rows, ts=ts, seq=seq, carried=carried):
-            if source >= 0:
-                rows.append(source)
-                ts.append(cols["ack_ts"][source])
-                seq.append(cols["ack_seq"][source])
-            else:
-                carried.append(held)
-
-        source = -1
-        for i in range(batch.num_rows):
-            n, flags = cols["n"][i], cols["tcp_flags"][i]
-            if cols["run_seq"][i] != run or n <= last_n:     # the latter: the same packets tried anew
-                if waiting is not None:
-                    close_waiting(source)
-                run, waiting = cols["run_seq"][i], None
-                entry = cols["run_entry"][i]
-                opened = cols["run_n"][i] if entry == NOTHING_OPEN else 0
-                if entry == FIN_SEEN:
-                    # the chunk's first row is always passed here in this case
-                    if flags & ACK and not flags & SYN:
-                        rows.append(i)
-                        ts.append(cols["ts_us"][i])
-                        seq.append(cols["packet_seq"][i])
-                        opened, last_n = n + 1, n
-                        continue
-                    waiting, source = cols["ack_n"][i], i
-            last_n = n
-            if waiting is not None and waiting < n:
-                close_waiting(source)
-                opened, waiting = waiting + 1, None
-            if n == opened:
-                continue
-            if waiting == n:
-                close_waiting(source)
-                opened, waiting = n + 1, None
-            elif flags & RST:
-                rows.append(i)
-                ts.append(cols["ts_us"][i])
-                seq.append(cols["packet_seq"][i])
-                opened, waiting = n + 1, None
-            elif flags & FIN and waiting is None:
-                waiting, source = cols["ack_n"][i], i
-
-        out = batch.select(names).take(pa.array(rows, pa.int64()))
-        out = out.set_column(names.index("ts_us"), "ts_us", pa.array(ts, pa.int64()))
-        out = out.set_column(names.index("packet_seq"), "packet_seq", pa.array(seq, pa.int64()))
-        yield from carried
-        yield out
-        if waiting is not None and source >= 0:
-            held = batch.select(names).slice(source, 1)
-            held = held.set_column(names.index("ts_us"), "ts_us", pa.array([cols["ack_ts"][source]], pa.int64()))
-            held = held.set_column(
-                names.index("packet_seq"), "packet_seq", pa.array([cols["ack_seq"][source]], pa.int64()))
-    if waiting is not None:
-        yield held
+
+def _answered(acc: str, upto: str) -> str:
+    """The state when an ACK that was waited for has come before `upto`."""
+    return f"if({acc}.waits IS NOT NULL AND ({upto} IS NULL OR {acc}.waits.n < {upto}), {_closed(acc, acc + '.waits')}, {acc})"
+
+
+PLACE = "struct<n:bigint,ts:bigint,seq:bigint>"
+_START = _state(
+    f"if(state = {OPENS}, events[0].n, 0L)",
+    f"if(state = {FIN_SEEN}, if(events[0].is_ack, named_struct('n', events[0].n, 'ts', events[0].ts, 'seq', events[0].seq), events[0].ack), cast(null as {PLACE}))",
+    "cast(array() as array<struct<ts:bigint,seq:bigint>>)")
+_STEP = f"""CASE WHEN e.n = s.opened THEN s
+  WHEN s.waits.n = e.n OR e.flags & {RST} > 0 THEN {_closed("s", "e")}
+  WHEN e.flags & {FIN} > 0 AND s.waits IS NULL THEN {_state("s.opened", "e.ack", "s.cuts")}
+  ELSE s END"""
+_FOLD = f"aggregate(events, {_START}, (acc, e) -> {_bound(_answered('acc', 'e.n'), 's', _STEP)})"
+_LEAVE = f"named_struct('exit', CASE WHEN s.waits IS NOT NULL THEN {FIN_SEEN} WHEN s.opened = next_n THEN {OPENS} ELSE {OPEN} END, 'cuts', s.cuts)"
+#: Per entry in `states`, (exit, cuts) of a block of FIN and RST packets (`events`, before the event `next_n`).
+#:
+#: A state is what one packet can know of those before it: it opens a conversation itself, one is open, or one is open that saw
+#: FIN. So a block is a map of three states, whatever it holds, and blocks compose. `cuts` are the packets that close. A FIN
+#: waits for the next ACK after it; one that falls before the next event of the run closes in this block.
+TRIED = f"transform(states, state -> {_bound(_bound(_FOLD, 'r', _answered('r', 'next_n')), 's', _LEAVE)})"
 
 
 def closings(packets: DataFrame, parts: list[str]) -> DataFrame:
@@ -124,22 +85,25 @@ def closings(packets: DataFrame, parts: list[str]) -> DataFrame:
         Window.partitionBy(*parts, "run_n").orderBy(F.col("n").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    run = Window.partitionBy(*parts, "run_n").orderBy("n")
     events = (
         numbered.withColumn("ack", F.min(F.when(is_ack, place)).over(later))
         .filter(
             has_flag(F.col("tcp_flags"), FIN | RST)
             | ((F.col("n") == 1) & (F.col("entry") == FIN_SEEN))
         )
-        .select(
-            *parts, "ts_us", "packet_seq", "tcp_flags", "run_seq", "run_n", "n",
-            F.when(F.col("run_n") == 1, F.col("entry")).otherwise(NOTHING_OPEN).alias("run_entry"),
-            F.col("ack.n").alias("ack_n"), F.col("ack.ts").alias("ack_ts"), F.col("ack.seq").alias("ack_seq"),
-        )
-        # the windows above put each `parts` group into one partition; this only orders rows inside it
-        .sortWithinPartitions(*parts, "n")
-    )
-    schema = T.StructType(
-        [packets.schema[p] for p in parts]
-        + [T.StructField("ts_us", T.LongType()), T.StructField("packet_seq", T.LongType())]
+        .withColumns({"k": F.row_number().over(run) - 1, "next_n": F.lead("n").over(run),
+                      "run_entry": F.when(F.col("run_n") == 1, F.col("entry")).otherwise(NOTHING_OPEN)})
     )
-    return events.mapInArrow(closing_scan, schema)
+    event = F.struct("n", F.col("ts_us").alias("ts"), F.col("packet_seq").alias("seq"), F.col("tcp_flags").alias("flags"), is_ack.alias("is_ack"), "ack")
+    # the windows above put each `parts` group into one partition, so none of this is dealt anew
+    blocks = events.groupBy(*parts, "run_n", F.floor(F.col("k") / BLOCK).alias("block")).agg(
+        F.sort_array(F.collect_list(event)).alias("events"), F.max("run_entry").alias("run_entry"),      # at most BLOCK
+        F.max_by("next_n", "n").alias("next_n"))
+    at_start = f"CASE WHEN run_entry <> {NOTHING_OPEN} THEN run_entry WHEN events[0].n = run_n THEN {OPENS} ELSE {OPEN} END"
+    tried = blocks.withColumn("states", F.expr(f"if(block = 0, array({at_start}), array({OPENS}, {OPEN}, {FIN_SEEN}))")).withColumn("tried", F.expr(TRIED))
+    before = Window.partitionBy(*parts, "run_n").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    exits = F.expr("if(block = 0, array_repeat(tried[0].exit, 3), transform(tried, t -> t.exit))")
+    chosen = tried.withColumn("maps", F.collect_list(exits).over(before)).selectExpr(
+        *parts, f"explode(get(tried, aggregate(maps, {OPENS}, (state, map) -> map[state])).cuts) AS cut")
+    return chosen.select(*parts, F.col("cut.ts").alias("ts_us"), F.col("cut.seq").alias("packet_seq"))
