@@ -107,3 +107,11 @@ def test_one_class_and_unknown_feature(table):
 def test_importance(spark, fitted):
     top = [r.feature for r in MO.feature_importance(fitted[0], spark, 2).collect()]
     assert set(top) == {"beacon_score", "payload_entropy"}
+
+
+def test_metrics_leave_nothing_cached(spark):
+    from tidewire.operators import metrics
+    scored = spark.createDataFrame([(i / 50, i % 2) for i in range(50)], "proba_c2 double, label long")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert metrics.evaluate(scored).count() == metrics.ranking_metrics(scored).count() == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

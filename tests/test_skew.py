@@ -60,12 +60,12 @@ def test_ranking_metrics_equal_definition(spark, small):
     curve = M.score_curve(df, bins=16, small=small)
     assert curve.count() == len({p for _, p in data})
     import tidewire.operators.metrics as module
-    old = module.score_curve
-    module.score_curve = lambda s: old(s, 16, small)
+    old = module.curve_of
+    module.curve_of = lambda s: old(s, 16, small)
     try:
         m = M.ranking_metrics(df).first()
     finally:
-        module.score_curve = old
+        module.curve_of = old
     assert m.pr_auc == pytest.approx(ap) and m.roc_auc == pytest.approx(auc)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,11 @@ def score_curve(scored: DataFrame, bins: int = 1024, small: int = skew.SMALL_ROW
     Prefix sums in two levels: scores fall into about equal bins, sums of whole bins (at most `bins` rows)
     carry over, and a window inside each bin does the rest. A short score list needs one bin only.
     """
-    # three passes read the counts; what makes the scores runs once
-    groups = score_groups(scored).persist()
+    return curve_of(score_groups(scored), bins, small)
+
+
+def curve_of(groups: DataFrame, bins: int = 1024, small: int = skew.SMALL_ROWS) -> DataFrame:
+    """As `score_curve`, from the rows per score. Reads them three times."""
     if skew.is_small(groups, small):
         binned = groups.withColumn("bin", F.lit(0))
     else:
@@ -89,8 +94,18 @@ def _ranking() -> list[Column]:
     ]
 
 
+def _over_curve(scored: DataFrame, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row worked out over the curve at once: the counts per score are kept while it is made, and no longer."""
+    groups = score_groups(scored).persist()
+    try:
+        result = then(curve_of(groups))
+        return skew.frozen(scored.sparkSession, [tuple(r) for r in result.collect()], result.schema)        # one row
+    finally:
+        groups.unpersist()
+
+
 def ranking_metrics(scored: DataFrame) -> DataFrame:
-    return score_curve(scored).agg(*_ranking())
+    return _over_curve(scored, lambda curve: curve.agg(*_ranking()))
 
 
 def per_class_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -123,10 +138,13 @@ def evaluate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     def rows(side, test):
         return F.coalesce(F.sum(F.when(test, F.col(side))), F.lit(0)).cast("bigint")
 
-    sums = score_curve(scored).agg(
-        rows("neg", ~hit).alias("tn"), rows("neg", hit).alias("fp"), rows("pos", ~hit).alias("fn"),
-        rows("pos", hit).alias("tp"), *_ranking())
-    return sums.select(*COUNTS, *_rates(), "pr_auc", "roc_auc").select(*COUNTS, *METRICS)
+    def measured(curve: DataFrame) -> DataFrame:
+        sums = curve.agg(
+            rows("neg", ~hit).alias("tn"), rows("neg", hit).alias("fp"), rows("pos", ~hit).alias("fn"),
+            rows("pos", hit).alias("tp"), *_ranking())
+        return sums.select(*COUNTS, *_rates(), "pr_auc", "roc_auc").select(*COUNTS, *METRICS)
+
+    return _over_curve(scored, measured)
 
 
 def cross_dataset_eval(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
