@@ -1,7 +1,12 @@
 """Capture files (pcap, pcapng) as a table of frames.
 
-Two lazy steps: one task per file hops over record headers and notes where to split; then every split of about
-`split_bytes` is read on its own, wherever there is room. One large capture is thus read by many tasks.
+A file is cut into byte ranges of about `split_bytes`, and one task a range finds the first record in it: a place where several
+record headers follow each other. It hops on from there to the first record beyond the range, counting. A range was read
+right if it starts where the one before it stopped; the first range starts after the file's header, so one after the other
+is known to be right, and a range that took payload for headers is read again from where it has to start. Frame numbers are
+sums of the counts. The index is made once and kept; then ranges are read, wherever there is room. So one large classic
+capture is indexed and read by many tasks. In pcapng, where blocks before a range say how to read it, one task a file hops
+over the headers.
 """
 
 from __future__ import annotations
@@ -11,12 +16,15 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.schemas import FRAMES
+from tidewire.schemas import FRAMES, fields
+from tidewire.session import scratch_dir
 from tidewire.sources.tables import resolve_inputs
 
 SPLIT_BYTES = 64 << 20
@@ -24,6 +32,10 @@ INDEX_BYTES = 8 << 20
 BATCH_FRAMES = 8192
 FILE_SHIFT = 40         # packet_seq = file number * 2^40 + frame number: unique, in file order
 
+# Headers that have to follow each other; bytes searched at a time; a frame may always be so long
+CHAIN, SEARCH_BYTES, LONGEST = 16, 1 << 20, 1 << 18
+INDEX = T.StructType(fields("file string, file_no bigint, part bigint, low bigint, high bigint, start bigint, stop bigint, done boolean, frames bigint, first_frame bigint, state string"))
+
 CAPTURE_FRAMES = T.StructType([T.StructField("packet_seq", T.LongType())] + FRAMES.fields)
 
 # --- fixed values: file formats ----------------------------------------------
@@ -174,17 +186,118 @@ def read_split(path: str, begin: int, end: int, state: str) -> Iterator[tuple]:
         at += step
 
 
-def _index(split_bytes: int):
+def _hop(f, at: int, high: int, size: int, order: str) -> tuple[int, bool, int]:
+    """(place after the last whole record that starts before `high`, whether the file ends there, records passed)."""
+    frames = 0
+    while at < high:
+        if at + 16 > size:
+            return at, True, frames
+        f.seek(at + 8)
+        step = 16 + struct.unpack(order + "I", f.read(4))[0]
+        if at + step > size:
+            return at, True, frames
+        at, frames = at + step, frames + 1
+    return at, at >= size, frames
+
+
+def _is_chain(f, at: int, size: int, order: str, ticks: int, longest: int) -> bool:
+    """Do record headers that make sense follow each other from here?"""
+    for _ in range(CHAIN):
+        if at + 16 > size:
+            return True
+        f.seek(at)
+        _, part, have, want = struct.unpack(order + "IIII", f.read(16))
+        if part >= ticks or have > longest or want < have:
+            return False
+        at += 16 + have
+    return True
+
+
+def find_record(f, low: int, high: int, size: int, order: str, ticks: int, longest: int) -> int | None:
+    """The first place in [low, high) from which a chain of records follows."""
+    at = low
+    while at < min(high, size - 15):
+        n = min(SEARCH_BYTES, high - at, size - 15 - at)
+        f.seek(at)
+        data = np.frombuffer(f.read(n + 15), np.uint8)
+        word = [data[k:k + n].astype(np.uint32) for k in range(16)]
+
+        def number(k: int) -> np.ndarray:
+            b = word[k:k + 4][::1 if order == "<" else -1]
+            return b[0] | b[1] << 8 | b[2] << 16 | b[3] << 24
+
+        have = number(8)
+        for k in np.flatnonzero((number(4) < ticks) & (have <= longest) & (number(12) >= have)).tolist():
+            if _is_chain(f, at + k, size, order, ticks, longest):
+                return at + k
+        at += n
+    return None
+
+
+def _ranges(split_bytes: int):
+    """A row for each byte range of a file, without having looked into it; of pcapng files, the exact splits."""
     def run(batches):
         for pdf in batches:
             for path, number in zip(pdf["file"], pdf["file_no"]):
-                rows = list(plan_splits(path, split_bytes))
-                yield pd.DataFrame(
-                    [(path, number, *r) for r in rows],
-                    columns=["file", "file_no", "begin", "end", "first_frame", "state"])
+                with open_file(path) as f:
+                    size = f.size()
+                    kind, order, ticks, link = _header(f)
+                if kind == "pcap":
+                    state = json.dumps([kind, order, ticks, link, []])
+                    rows = [(path, number, k, low, min(low + split_bytes, size), None, None, None, None, None, state)
+                            for k, low in enumerate(range(24, size, split_bytes))]
+                else:
+                    rows = [(path, number, k, a, b, a, b, True, None, first, state) for k, (a, b, first, state) in enumerate(plan_splits(path, split_bytes))]
+                yield pd.DataFrame(rows, columns=INDEX.names).astype({"start": "Int64", "stop": "Int64", "done": "boolean", "frames": "Int64", "first_frame": "Int64"})
     return run
 
 
+def _count(batches):
+    """Fills in where records start and stop in a range, and how many start in it; `start` is followed where it is known."""
+    for pdf in batches:
+        rows = []
+        for path, number, part, low, high, start, _, _, _, first, state in pdf.itertuples(index=False):
+            _, order, ticks, _, _ = json.loads(state)
+            with open_file(path) as raw:
+                size = raw.size()
+                f = io.BufferedReader(raw, INDEX_BYTES)
+                f.seek(16)
+                longest = max(struct.unpack(order + "I", f.read(4))[0], LONGEST)
+                if pd.isna(start):
+                    start = low if part == 0 else find_record(f, low, high, size, order, ticks, longest)
+                got = (None, None, None) if start is None else (start, True, 0) if start < 0 else _hop(f, int(start), high, size, order)
+            rows.append((path, number, part, low, high, start, *got, first, state))
+        yield pd.DataFrame(rows, columns=INDEX.names).astype({"start": "Int64", "stop": "Int64", "done": "boolean", "frames": "Int64", "first_frame": "Int64"})
+
+
+def capture_index(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file, file_no, begin, end, first_frame, state) of the ranges of all files, kept as a table."""
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch_dir(spark, "capture-index")
+        df.write.parquet(path)
+        return spark.read.schema(INDEX).parquet(path)
+
+    files = spark.createDataFrame(list(zip(paths, range(len(paths)))), "file string, file_no bigint")
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = kept(files.repartition(min(len(paths), 10_000), "file_no").mapInPandas(_ranges(split_bytes), INDEX))
+    exact = ranges.where("start IS NOT NULL")
+    index = kept(ranges.where("start IS NULL").repartition(spread, "file_no", "part").mapInPandas(_count, INDEX))
+    in_file = Window.partitionBy("file_no").orderBy("part")                 # a row for each `split_bytes` of one file
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        # a range without a record passes on what the last one with records has said
+        due = F.when(F.col("part") == 0, F.lit(24)).otherwise(F.last(F.when(F.col("done"), F.lit(-1)).otherwise(F.col("stop")), ignorenulls=True).over(before))
+        checked = index.withColumn("due", due.cast("bigint"))
+        wrong = checked.where(~F.col("start").eqNullSafe(F.col("due")))
+        if wrong.isEmpty():
+            break
+        # at least the first wrong range of each file is now read from its true start; the others are checked again
+        again = wrong.withColumn("start", F.col("due")).drop("due").repartition(spread, "file_no", "part").mapInPandas(_count, INDEX)
+        index = kept(checked.where(F.col("start").eqNullSafe(F.col("due"))).drop("due").unionByName(again))
+    counted = index.withColumn("first_frame", F.coalesce(F.sum("frames").over(before), F.lit(0))).where("frames > 0")
+    return counted.unionByName(exact).select("file", "file_no", F.col("start").alias("begin"), F.col("stop").alias("end"), "first_frame", "state")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = CAPTURE_FRAMES.names
 
@@ -212,8 +325,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def capture_scan(spark: SparkSession, pattern: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Frames of all capture files that match. `packet_seq` is unique and rises in file order."""
     paths = resolve_inputs(spark, pattern)
-    files = spark.createDataFrame(list(zip(paths, range(len(paths)))), "file string, file_no bigint")
     spread = spark.sparkContext.defaultParallelism
-    index = files.repartition(min(len(paths), 10_000), "file_no").mapInPandas(
-        _index(split_bytes), "file string, file_no bigint, begin bigint, end bigint, first_frame bigint, state string")
+    index = capture_index(spark, paths, split_bytes)
     return index.repartition(max(spread, len(paths)), "file_no", "begin").mapInArrow(_read, CAPTURE_FRAMES)
