@@ -9,11 +9,11 @@ Texts are tokenised once; the sort moves keys and lengths, and tokens move once
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -149,14 +149,19 @@ def projection() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
 
 
+@lru_cache(maxsize=1)
+def borders() -> np.ndarray:
+    """Cuts of a normal variable into equally likely cells."""
+    return np.array([NormalDist().inv_cdf(k / (1 << BITS)) for k in range(1, 1 << BITS)])
+
+
 def places(ids: list[np.ndarray]) -> np.ndarray:
     """The place of each document on the curve."""
     hashed = np.stack([np.bincount((i.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64), minlength=BUCKETS)
                        for i in ids]).astype(float)
     hashed -= hashed.mean(1, keepdims=True)
     hashed /= np.maximum(np.linalg.norm(hashed, axis=1, keepdims=True), 1e-9)
-    low = 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(hashed @ projection() / math.sqrt(2)))
-    return hilbert(np.minimum((low * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
+    return hilbert(np.searchsorted(borders(), hashed @ projection(), side="right"), BITS)
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
