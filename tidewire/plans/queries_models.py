@@ -26,6 +26,7 @@ from tidewire.plans.queries_flows import DECODED, PACKET_FIELDS, PK, WITH_FLOWS
 from tidewire.plans.queries_tables import BC, FOUND, binetflow_table
 from tidewire.plans.registry import fx, query
 from tidewire.session import scratch_dir
+from tidewire.sources import capture_source as CS
 from tidewire.sources.capture import capture_scan
 from tidewire.streaming import flows as SF
 from tidewire.streaming.score import score_stream
@@ -82,6 +83,16 @@ def capture_frames(spark, sf_dir):
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("packet_seq").alias("distinct_seq"))
 
 
+@query("capture_window", f"""{DECODED}, ends AS (SELECT min(ts_us) AS a, max(ts_us) - min(ts_us) AS d FROM packets)
+  SELECT decoded.* EXCLUDE (packet_seq) FROM decoded, ends WHERE (src_port IN (80, 443) OR dst_port IN (80, 443)) AND ts_us >= a + d // 4 AND ts_us < a + d // 2""")
+def capture_window(spark, sf_dir):
+    """Ports and times asked of the captures themselves: other frames never become rows."""
+    first, last = X.event_packets(spark, sf_dir).agg(F.min("ts_us"), F.max("ts_us")).first()
+    index = CS.kept_index(spark, _captures(spark, sf_dir), split_bytes=1 << 16)
+    found = CS.captured_packets(spark, index, ports=(80, 443), since_us=first + (last - first) // 4, until_us=first + (last - first) // 2)
+    return found.withColumn("payload_hex", F.hex("payload")).drop("payload", "packet_seq")
+
+
 # --- models -------------------------------------------------------------------
 
 N_TEST = f"WITH {BC} SELECT count(*) - CAST(floor(count(*) * 0.75) AS BIGINT) AS n_test, true AS in_range, true AS learned FROM labelled"
@@ -244,6 +255,14 @@ def packet_stream(spark, sf_dir):
     return _run(spark, stream.filter("packet_seq >= 0"), "packet-stream")[0].drop("payload")
 
 
+@query("capture_stream", f"{DECODED} SELECT * EXCLUDE (packet_seq) FROM decoded")
+def capture_stream(spark, sf_dir):
+    """Captures as they land, decoded."""
+    folder = _captures(spark, sf_dir).rsplit("/", 1)[0]
+    stream = CS.capture_stream(spark, folder, scratch_dir(spark, "capture-state"))
+    return _run(spark, stream, "capture-stream")[0].withColumn("payload_hex", F.hex("payload")).drop("payload", "packet_seq")
+
+
 @query("stream_flow_stats", f"""WITH RECURSIVE {PK}, {O.assigned(teardown=False)} SELECT flow_id, min(ts_us) AS start_us, max(ts_us) AS end_us,
   count(*) AS total_packets, CAST(sum(length) AS BIGINT) AS total_bytes, bit_or(tcp_flags) AS flags FROM assigned GROUP BY flow_id, flow_seq""")
 def stream_flow_stats(spark, sf_dir):

@@ -34,7 +34,8 @@ FILE_SHIFT = 40         # packet_seq = file number * 2^40 + frame number: unique
 
 # Headers that have to follow each other; bytes searched at a time; a frame may always be so long
 CHAIN, SEARCH_BYTES, LONGEST = 16, 1 << 20, 1 << 18
-INDEX = T.StructType(fields("file string, file_no bigint, part bigint, low bigint, high bigint, start bigint, stop bigint, done boolean, frames bigint, first_frame bigint, state string"))
+INDEX = T.StructType(fields("file string, file_no bigint, part bigint, low bigint, high bigint, start bigint, stop bigint, done boolean, frames bigint, first_frame bigint, state string, low_us bigint, high_us bigint"))
+NULLABLE = {"start": "Int64", "stop": "Int64", "done": "boolean", "frames": "Int64", "first_frame": "Int64", "low_us": "Int64", "high_us": "Int64"}
 
 CAPTURE_FRAMES = T.StructType([T.StructField("packet_seq", T.LongType())] + FRAMES.fields)
 
@@ -186,18 +187,20 @@ def read_split(path: str, begin: int, end: int, state: str) -> Iterator[tuple]:
         at += step
 
 
-def _hop(f, at: int, high: int, size: int, order: str) -> tuple[int, bool, int]:
-    """(place after the last whole record that starts before `high`, whether the file ends there, records passed)."""
-    frames = 0
+def _hop(f, at: int, high: int, size: int, order: str, ticks: int) -> tuple:
+    """(place after the last whole record that starts before `high`, whether the file ends there, records passed, their first and last time)."""
+    frames, low_us, high_us = 0, None, None
     while at < high:
         if at + 16 > size:
-            return at, True, frames
-        f.seek(at + 8)
-        step = 16 + struct.unpack(order + "I", f.read(4))[0]
-        if at + step > size:
-            return at, True, frames
-        at, frames = at + step, frames + 1
-    return at, at >= size, frames
+            return at, True, frames, low_us, high_us
+        f.seek(at)
+        sec, part, have = struct.unpack(order + "III", f.read(12))
+        if at + 16 + have > size:
+            return at, True, frames, low_us, high_us
+        us = sec * 1_000_000 + part * 1_000_000 // ticks
+        low_us, high_us = (us, us) if low_us is None else (min(low_us, us), max(high_us, us))
+        at, frames = at + 16 + have, frames + 1
+    return at, at >= size, frames, low_us, high_us
 
 
 def _is_chain(f, at: int, size: int, order: str, ticks: int, longest: int) -> bool:
@@ -244,11 +247,11 @@ def _ranges(split_bytes: int):
                     kind, order, ticks, link = _header(f)
                 if kind == "pcap":
                     state = json.dumps([kind, order, ticks, link, []])
-                    rows = [(path, number, k, low, min(low + split_bytes, size), None, None, None, None, None, state)
+                    rows = [(path, number, k, low, min(low + split_bytes, size), None, None, None, None, None, state, None, None)
                             for k, low in enumerate(range(24, size, split_bytes))]
                 else:
-                    rows = [(path, number, k, a, b, a, b, True, None, first, state) for k, (a, b, first, state) in enumerate(plan_splits(path, split_bytes))]
-                yield pd.DataFrame(rows, columns=INDEX.names).astype({"start": "Int64", "stop": "Int64", "done": "boolean", "frames": "Int64", "first_frame": "Int64"})
+                    rows = [(path, number, k, a, b, a, b, True, None, first, state, None, None) for k, (a, b, first, state) in enumerate(plan_splits(path, split_bytes))]
+                yield pd.DataFrame(rows, columns=INDEX.names).astype(NULLABLE)
     return run
 
 
@@ -256,7 +259,7 @@ def _count(batches):
     """Fills in where records start and stop in a range, and how many start in it; `start` is followed where it is known."""
     for pdf in batches:
         rows = []
-        for path, number, part, low, high, start, _, _, _, first, state in pdf.itertuples(index=False):
+        for path, number, part, low, high, start, _, _, _, first, state, _, _ in pdf.itertuples(index=False):
             _, order, ticks, _, _ = json.loads(state)
             with open_file(path) as raw:
                 size = raw.size()
@@ -265,13 +268,16 @@ def _count(batches):
                 longest = max(struct.unpack(order + "I", f.read(4))[0], LONGEST)
                 if pd.isna(start):
                     start = low if part == 0 else find_record(f, low, high, size, order, ticks, longest)
-                got = (None, None, None) if start is None else (start, True, 0) if start < 0 else _hop(f, int(start), high, size, order)
-            rows.append((path, number, part, low, high, start, *got, first, state))
-        yield pd.DataFrame(rows, columns=INDEX.names).astype({"start": "Int64", "stop": "Int64", "done": "boolean", "frames": "Int64", "first_frame": "Int64"})
+                got = (None,) * 5 if start is None else (start, True, 0, None, None) if start < 0 else _hop(f, int(start), high, size, order, ticks)
+            rows.append((path, number, part, low, high, start, *got[:3], first, state, *got[3:]))
+        yield pd.DataFrame(rows, columns=INDEX.names).astype(NULLABLE)
 
 
 def capture_index(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(file, file_no, begin, end, first_frame, state) of the ranges of all files, kept as a table."""
+    """(file, file_no, begin, end, first_frame, state, low_us, high_us) of the ranges of all files, kept as a table.
+
+    Times are null for pcapng.
+    """
     def kept(df: DataFrame) -> DataFrame:
         path = scratch_dir(spark, "capture-index")
         df.write.parquet(path)
@@ -295,7 +301,7 @@ def capture_index(spark: SparkSession, paths: list[str], split_bytes: int = SPLI
         again = wrong.withColumn("start", F.col("due")).drop("due").repartition(spread, "file_no", "part").mapInPandas(_count, INDEX)
         index = kept(checked.where(F.col("start").eqNullSafe(F.col("due"))).drop("due").unionByName(again))
     counted = index.withColumn("first_frame", F.coalesce(F.sum("frames").over(before), F.lit(0))).where("frames > 0")
-    return counted.unionByName(exact).select("file", "file_no", F.col("start").alias("begin"), F.col("stop").alias("end"), "first_frame", "state")
+    return counted.unionByName(exact).select("file", "file_no", F.col("start").alias("begin"), F.col("stop").alias("end"), "first_frame", "state", "low_us", "high_us")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
