@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import model as MO
-from tidewire.operators.explain import attributions, explain, leaves_of
+from tidewire.operators.explain import attributions, explain, flat_tree
 from tidewire.schemas import FEATURE_NAMES
 
 
@@ -84,7 +84,7 @@ def test_attributions_equal_definition():
 
     rng = np.random.default_rng(1)
     xs = rng.normal(size=(20, 3)) * 1.5
-    phi, base = attributions(xs, [leaves_of(nodes, 3)])
+    phi, base = attributions(xs, [flat_tree(*map(np.array, zip(*[nodes[i] for i in sorted(nodes)])), 3)])
     for x, got in zip(xs, phi):
         for i in range(3):
             others = [j for j in range(3) if j != i]
@@ -97,6 +97,19 @@ def test_attributions_equal_definition():
     assert base == pytest.approx(expect(0, xs[0], set()))
 
 
+def test_attributions_in_files_of_few_trees_and_of_stumps(spark, table):
+    """The same sums however the trees are dealt over files; a tree without a split explains nothing."""
+    trained = MO.train(table, MO.forest(trees=12, depth=30))
+    scored = MO.predict(trained, table)
+    whole, dealt = (explain(trained, scored, n).select("row_id", "shap", "shap_base").collect() for n in (10**6, 40))
+    assert len({r.row_id for r in whole}) == 1000
+    other = {r.row_id: r for r in dealt}
+    for r in whole:
+        assert other[r.row_id].shap == pytest.approx(r.shap, abs=1e-12) and other[r.row_id].shap_base == pytest.approx(r.shap_base)
+    phi, base = attributions(np.zeros((2, 3)), [flat_tree(*map(np.array, ([-1], [-1], [-1], [0.0], [5.0], [0.4])), 3)])
+    assert base == pytest.approx(0.4) and not phi.any()
+
+
 def test_one_class_and_unknown_feature(table):
     with pytest.raises(ValueError, match="one class"):
         MO.train(table.filter("label = 0"), MO.forest(trees=2, depth=2))
