@@ -37,14 +37,14 @@ def forest(seed: int = 42, trees: int = 300, depth: int = 30) -> RandomForestCla
     """Random forest; Spark ends trees at depth 30 and splits on 256 bins."""
     return RandomForestClassifier(
         featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxBins=256, maxMemoryInMB=1024, seed=seed)
+        minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxBins=256, maxMemoryInMB=256, seed=seed)
 
 
 def boosted(seed: int = 42, rounds: int = 400, depth: int = 8) -> GBTClassifier:
     """Boosted trees, logistic loss; columns are sampled per node."""
     return GBTClassifier(
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.05,
-        subsamplingRate=0.9, featureSubsetStrategy="0.9", maxBins=256, maxMemoryInMB=1024, seed=seed)
+        subsamplingRate=0.9, featureSubsetStrategy="0.9", maxBins=256, maxMemoryInMB=256, seed=seed)
 
 
 def feature_array(table: DataFrame) -> Column:
