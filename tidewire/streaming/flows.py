@@ -66,17 +66,19 @@ OUT = T.StructType(KEY_FIELDS + fields("kind string, flow_seq bigint, packet_seq
 TOTALS = [f.name for f in fields(SUMMARY)]
 #: Waiting packets of one conversation are kept by stretches of time, so many to the idle limit.
 BUCKETS = 8
+#: While the waiting packets of one conversation take fewer bytes than this they lie in the flow's own row: one read and one write a batch.
+FEW_BYTES = 1 << 18
 
 
 class Flows(StatefulProcessor):
     """One conversation: packets wait until the watermark passes them, then join the open flow in order of time.
 
-    State: the open flow (sums only), the gaps of the open flow (a list of arrays, for `active_time`), and waiting packets by
-    bucket of time. One bucket is in memory at a time, however long the conversation is.
+    State: the open flow (sums only), the gaps of the open flow (a list of arrays, for `active_time`), and waiting packets: beside the
+    open flow while they are few, else by bucket of time. One bucket is in memory at a time, however long the conversation is.
     """
 
-    def __init__(self, tcp_us: int, other_us: int, teardown: bool, packets: bool):
-        self.tcp_us, self.other_us, self.teardown, self.packets = tcp_us, other_us, teardown, packets
+    def __init__(self, tcp_us: int, other_us: int, teardown: bool, packets: bool, few_bytes: int = FEW_BYTES):
+        self.tcp_us, self.other_us, self.teardown, self.packets, self.few_bytes = tcp_us, other_us, teardown, packets, few_bytes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -88,24 +90,36 @@ class Flows(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues):                      # the engine passes these by name
-        width, stored = self.width(key), self.flow.get()
-        buckets = set(np.frombuffer(bytes(stored[-1]), np.int64).tolist()) if stored else set()
+        stored, few, buckets = self.stored()
         for frame in rows:
-            new = Rows.of(frame)
-            bucket = new.at["ts"] // width
-            for b in np.unique(bucket).tolist():
-                at, data = new.take(np.flatnonzero(bucket == b)).packed()
-                if b in buckets:
-                    old = self.waiting.getValue((b,))
-                    at, data = old[0] + at, old[1] + data
-                self.waiting.updateValue((b,), (at, data))
-                buckets.add(b)
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, buckets, None)
+            few.append(Rows.of(frame))
+            if buckets or sum(map(Rows.size, few)) > self.few_bytes:
+                self.file(key, few, buckets)
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, few, buckets, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        stored = self.flow.get()
-        buckets = set(np.frombuffer(bytes(stored[-1]), np.int64).tolist()) if stored else set()
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, buckets, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, *self.stored(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def stored(self) -> tuple[tuple | None, list[Rows], set[int]]:
+        """The open flow with its timer, and the packets that wait: in the row itself, or the buckets that hold them (never both)."""
+        row = self.flow.get()
+        if row is None:
+            return None, [], set()
+        *stored, at, data, buckets = row
+        return tuple(stored), [Rows.unpacked(bytes(at), bytes(data))] if at else [], set(np.frombuffer(bytes(buckets), np.int64).tolist())
+
+    def file(self, key: tuple, few: list[Rows], buckets: set[int]) -> None:
+        """Moves packets into buckets."""
+        new = Rows.joined(few)
+        few.clear()
+        bucket = new.at["ts"] // self.width(key)
+        for b in np.unique(bucket).tolist():
+            at, data = new.take(np.flatnonzero(bucket == b)).packed()
+            if b in buckets:
+                old = self.waiting.getValue((b,))
+                at, data = old[0] + at, old[1] + data
+            self.waiting.updateValue((b,), (at, data))
+            buckets.add(b)
 
     def limit(self, key: tuple) -> int:
         return self.tcp_us if key[4] == TCP else self.other_us
@@ -113,25 +127,27 @@ class Flows(StatefulProcessor):
     def width(self, key: tuple) -> int:
         return max(self.limit(key) // BUCKETS, 1)
 
-    def advance(self, key: tuple, passed: int, stored: tuple | None, buckets: set[int], expired: int | None) -> Iterator[pd.DataFrame]:
+    def advance(self, key: tuple, passed: int, stored: tuple | None, few: list[Rows], buckets: set[int], expired: int | None) -> Iterator[pd.DataFrame]:
         """Counts all packets the watermark has passed; what came before them is complete."""
         width, flow, timer = self.width(key), None, None
         if stored is not None:
-            *values, timer, _ = stored
+            *values, timer = stored
             flow = FlowState(*[bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in values]) if values[0] is not None else None
         if timer is not None and timer == expired:
             timer = None
         buckets = sorted(buckets)
         rest = [b for b in buckets if b * width > passed]
-        first, out = rest[0] * width if rest else None, []
-        for b in buckets[:len(buckets) - len(rest)]:
-            rows = Rows.unpacked(*map(bytes, self.waiting.getValue((b,)))).in_order()
+        first, out, left = rest[0] * width if rest else None, [], None
+        for b in buckets[:len(buckets) - len(rest)] or [None] * bool(few):
+            rows = (Rows.joined(few) if b is None else Rows.unpacked(*map(bytes, self.waiting.getValue((b,))))).in_order()
             ready = int(np.searchsorted(rows.at["ts"], passed, side="right"))
             if ready < len(rows.at):
                 first = int(rows.at["ts"][ready])
-                rest.append(b)
-                self.waiting.updateValue((b,), rows.take(np.arange(ready, len(rows.at))).packed())
-            else:
+                left = rows.take(np.arange(ready, len(rows.at)))
+                if b is not None:
+                    rest.append(b)
+                    self.waiting.updateValue((b,), left.packed())
+            elif b is not None:
                 self.waiting.removeKey((b,))
             if ready:
                 flow = self.counted(key, flow, rows.take(np.arange(ready)), out)
@@ -153,7 +169,8 @@ class Flows(StatefulProcessor):
             self.flow.clear()
         else:
             none = [None] * len(fields_of(FlowState))
-            self.flow.update((*(astuple(flow) if flow is not None else none), want, np.array(rest, np.int64).tobytes()))
+            waiting = left.packed() if few and left is not None else (b"", b"")
+            self.flow.update((*(astuple(flow) if flow is not None else none), want, *waiting, np.array(rest, np.int64).tobytes()))
 
     def counted(self, key: tuple, flow: FlowState | None, rows: Rows, out: list[tuple]) -> FlowState | None:
         """The flow that is open after the packets; `out` gets the packets and the flows that closed."""
@@ -235,7 +252,8 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY, with_packets: bool = True) -> DataFrame:
+def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY, with_packets: bool = True,
+                       few_bytes: int = FEW_BYTES) -> DataFrame:
     """Rows of two kinds: `packet` (with its flow, unless not asked for) and `closed` (a flow that just ended, with its totals).
 
     In a stream `flow_seq` is the packet_seq of the flow's first packet, so closed conversations leave no state
@@ -243,7 +261,7 @@ def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay
     """
     use_rocksdb(packets.sparkSession)
     keyed = with_flow_key(with_event_time(packets, delay))
-    processor = Flows(round(rules.tcp_seconds * 1e6), round(rules.udp_seconds * 1e6), rules.teardown, with_packets)
+    processor = Flows(round(rules.tcp_seconds * 1e6), round(rules.udp_seconds * 1e6), rules.teardown, with_packets, few_bytes)
     return (
         keyed.select(*FLOW_KEY, *CARRIED, "ts").groupBy(*FLOW_KEY)
         .transformWithStateInPandas(processor, OUT, "append", "eventTime")

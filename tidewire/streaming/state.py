@@ -54,6 +54,15 @@ class Rows:
     def in_order(self) -> "Rows":
         return self.take(np.lexsort((self.at["seq"], self.at["ts"])))
 
+    def size(self) -> int:
+        return self.at.nbytes + int(self.at["head"].sum()) + int(self.at["bytes"].sum())
+
+    @staticmethod
+    def joined(parts: "list[Rows]") -> "Rows":
+        if len(parts) == 1:
+            return parts[0]
+        return Rows(np.concatenate([p.at for p in parts]), [h for p in parts for h in p.heads], [b for p in parts for b in p.bytes])
+
     def packed(self) -> tuple[bytes, bytes]:
         return self.at.tobytes(), b"".join(x for pair in zip(self.heads, self.bytes) for x in pair)
 
@@ -245,5 +254,5 @@ SUMMARY = ("fwd_lo boolean, start_us bigint, end_us bigint, total_packets bigint
            "len_mean double, len_std double, len_min int, len_max int, n_small bigint, n_gaps bigint, gap_mean double, gap_std double, "
            "gap_min bigint, gap_max bigint, gap_skew double, gap_kurt double, active_us bigint, gap_sum bigint, gaps_rounded boolean, "
            "payload_entropy double, dns_query_entropy double")
-#: The columns of a stored `FlowState`, in its order, the timer that is set, and the buckets in which packets wait.
-STATE = ", ".join(f"{f.name} " + {"int": "bigint", "bool": "boolean", "float": "double", "bytes": "binary"}[f.type] for f in fields_of(FlowState)) + ", timer bigint, buckets binary"
+#: The columns of a stored `FlowState`, in its order, the timer that is set, waiting packets while they are few, and the buckets in which many wait.
+STATE = ", ".join(f"{f.name} " + {"int": "bigint", "bool": "boolean", "float": "double", "bytes": "binary"}[f.type] for f in fields_of(FlowState)) + ", timer bigint, at binary, data binary, buckets binary"
