@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.session import use_utc
+from tidewire.session import compiled_plans, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame under `name`."""
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(use_utc(spark), sf_dir)
+            return fn(compiled_plans(use_utc(spark)), sf_dir)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

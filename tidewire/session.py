@@ -17,6 +17,18 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of the largest method the JVM compiles.
+METHOD_BYTES = 8000
+
+
+def compiled_plans(spark: SparkSession) -> SparkSession:
+    """Wide plans run as several compiled methods; fused into one above `METHOD_BYTES` the JVM would interpret every row of it."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > METHOD_BYTES:
+        spark.conf.set(name, str(METHOD_BYTES))
+    return spark
+
+
 _temporary_root: str | None = None
 
 
@@ -48,8 +60,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        # the JVM never compiles methods above 8000 bytes; wide projections are faster split up than fused
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))                         # see `compiled_plans`
         # no call-site capture per Column call: building wide plans gets several times faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
