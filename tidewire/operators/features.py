@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import has_flag, header_entropy, is_finite, safe_div
-from tidewire.operators.entropy import payload_entropies
+from tidewire.operators.entropy import payload_entropies, tallied
 from tidewire.operators.flows import Chunks, FlowRules, assign_flows, find_chunks, summarise_flows
 from tidewire.schemas import (
     ENTROPY_FEATURES, FEATURE_NAMES, FIN, FLOW_ID, MIN_PACKETS, PROTO_FEATURES, RST, SMALL_PAYLOAD,
@@ -102,11 +102,13 @@ def flow_features(
 ) -> DataFrame:
     """One row per flow: its identity columns, then a struct `features` with the asked-for features.
 
-    Only what the asked-for groups need is read and moved: payload bytes travel for the entropy group alone,
+    Only what the asked-for groups need is read and moved: payloads travel, `tallied`, for the entropy group alone,
     in a branch of their own, next to the narrow branch that makes everything else.
     """
     if chunks == "auto":
         chunks = find_chunks(packets, rules)
+    if "entropy" in groups:
+        packets = tallied(packets)
     assigned = assign_flows(packets, rules, chunks)
     return features_of_assigned(assigned, min_packets, groups, chunks is not None)
 
