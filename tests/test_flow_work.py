@@ -47,3 +47,17 @@ def test_only_heavy_conversations_are_cut(spark):
     row, = cuts.table.collect()
     assert row.lo_port == 443 or row.hi_port == 443
     assert "10.0.0.9" in (row.lo_ip, row.hi_ip) and len(row.cuts) == 2 == cuts.most
+
+
+@pytest.mark.parametrize("min_packets", [1, 2])
+def test_lone_packets_are_not_counted_where_no_flow_has_them(spark, min_packets):
+    """Flows of 1, 2, 1 and 3 packets in one conversation: a flow of one is told from a flow that goes on."""
+    times = [0, 200, 201, 400, 600, 601, 602]
+    rows = [packet(i, 10**12 + t * 10**6, proto=17, payload=bytes(range(i + 2))) for i, t in enumerate(times)]
+    df = flow_features(packets_df(spark, rows), min_packets=min_packets)
+    got = {r.flow_seq: r.features.payload_entropy for r in df.collect()}
+    texts = {1: rows[0:1], 2: rows[1:3], 3: rows[3:4], 4: rows[4:7]}
+    want = {no: entropy(b"".join(bytes(r[10]) for r in t)) for no, t in texts.items() if len(t) >= min_packets}
+    assert got == {no: pytest.approx(h, rel=1e-5) for no, h in want.items()}
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ("_lone" in final or "lead(starts" in final) == (min_packets > 1)

@@ -9,7 +9,7 @@ from tidewire.functions.scalar import has_flag, header_entropy, is_finite, safe_
 from tidewire.operators.entropy import payload_entropies, tallied
 from tidewire.operators.flows import Chunks, FlowRules, assign_flows, find_chunks, summarise_flows
 from tidewire.schemas import (
-    ENTROPY_FEATURES, FEATURE_NAMES, FIN, FLOW_ID, MIN_PACKETS, PROTO_FEATURES, RST, SMALL_PAYLOAD,
+    ENTROPY_FEATURES, FEATURE_NAMES, FIN, FLOW_ID, FLOW_KEY, MIN_PACKETS, PROTO_FEATURES, RST, SMALL_PAYLOAD,
     STATS_FEATURES, SYN, TIMING_FEATURES,
 )
 
@@ -36,6 +36,13 @@ def with_active(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _without_lone_packets(assigned: DataFrame) -> DataFrame:
+    """Packets of flows of at least two; in the order of the assignment, so that nothing is moved or sorted for it."""
+    order = Window.partitionBy(*FLOW_KEY).orderBy("ts_us", "packet_seq")
+    next_starts = F.coalesce(F.lead("starts").over(order), F.lit(True))
+    return assigned.withColumn("_lone", F.col("starts") & next_starts).filter(~F.col("_lone")).drop("_lone")
+
+
 def _flow_sums(assigned: DataFrame) -> DataFrame:
     gap = F.col("iat_us").cast("double")
     return summarise_flows(assigned, [
@@ -124,7 +131,8 @@ def features_of_assigned(
     narrow = with_active(assigned) if "timing" in groups else assigned.withColumn("active_us", F.lit(0))
     flows = _flow_sums(narrow).filter(F.col("total_packets") >= min_packets)
     if "entropy" in groups:
-        flows = flows.join(payload_entropies(assigned, in_chunks), FLOW_ID, "left")
+        counted = assigned if in_chunks or min_packets < 2 else _without_lone_packets(assigned)
+        flows = flows.join(payload_entropies(counted, in_chunks), FLOW_ID, "left")
     return features_of_sums(flows, wanted)
 
 
