@@ -20,7 +20,7 @@ from tidewire.operators.features import zero_features
 from tidewire.operators.labels import class_weights
 from tidewire.operators.split import random_split, time_split
 from tidewire.schemas import BUNDLE_VERSION, FEATURE_NAMES
-from tidewire.session import spread
+from tidewire.session import spread, written_once
 
 log = logging.getLogger(__name__)
 
@@ -115,9 +115,7 @@ def fit_and_evaluate(
     zeroed: list[str] = [], dataset: str = "unknown", row_key: list[str] | None = None,
 ) -> tuple[Trained, DataFrame]:
     """Split, optionally blind some features on both sides, train, evaluate."""
-    timed = split == "time" and "start_time" in table.columns
-    if row_key:
-        table = table.select(*dict.fromkeys([*FEATURE_NAMES, "label", *(["start_time"] if timed else []), *row_key]))
+    table, timed = needed(table, split, row_key)
     # what makes the table runs once: the split passes over it several times, training once per tree level, and both are
     # worth one move into even partitions
     table = spread(table).persist()
@@ -129,24 +127,48 @@ def fit_and_evaluate(
     try:
         sides.count()
         table.unpersist()                       # the memory is for the binned rows, over which training passes once per level
-        trained = train(sides.filter(~F.col("is_test")), estimator, dataset)
-        result = evaluate(trained, sides.filter("is_test"))
-        row = result.first()
-        if not row["tn"] + row["fp"] or not row["tp"] + row["fn"]:
-            log.warning("the test side holds one class only: metrics of the other say nothing")
-        return trained, result
+        return fit_sides(sides, estimator, dataset)
     finally:
         sides.unpersist()
         table.unpersist()
 
 
-def ablation(table: DataFrame, runs: dict[str, list[str]], make=forest, **options) -> DataFrame:
-    """One row of metrics per run: the features it blinds."""
-    out = None
-    for name, zeroed in runs.items():
-        _, result = fit_and_evaluate(table, make(), zeroed=zeroed, **options)
-        row = result.select(F.lit(name).alias("run"), F.lit(",".join(zeroed)).alias("zeroed"), "*")
-        out = row if out is None else out.unionByName(row)
+def needed(table: DataFrame, split: str, row_key: list[str] | None) -> tuple[DataFrame, bool]:
+    """The columns that splitting and training read, where a row key is given; and whether the split goes by time."""
+    timed = split == "time" and "start_time" in table.columns
+    if row_key:
+        table = table.select(*dict.fromkeys([*FEATURE_NAMES, "label", *(["start_time"] if timed else []), *row_key]))
+    return table, timed
+
+
+def fit_sides(sides: DataFrame, estimator: Estimator | None, dataset: str) -> tuple[Trained, DataFrame]:
+    """Trains on one side and evaluates on the other (`is_test`)."""
+    trained = train(sides.filter(~F.col("is_test")), estimator, dataset)
+    result = evaluate(trained, sides.filter("is_test"))
+    row = result.first()
+    if not row["tn"] + row["fp"] or not row["tp"] + row["fn"]:
+        log.warning("the test side holds one class only: metrics of the other say nothing")
+    return trained, result
+
+
+def ablation(
+    table: DataFrame, runs: dict[str, list[str]], make=forest, split: str = "time", test_size: float = 0.25, seed: int = 42,
+    dataset: str = "unknown", row_key: list[str] | None = None,
+) -> DataFrame:
+    """One row of metrics per run: the features it blinds.
+
+    All runs share one split of one written table, which goes when they are done: columns in files take a fraction of what
+    cached rows do, and the runs leave nothing behind.
+    """
+    table, timed = needed(table, split, row_key)
+    with written_once(spread(table), "ablation") as table:
+        sides = time_split(table, test_size, row_key) if timed else random_split(table, test_size, seed, row_key)
+        out = None
+        for name, zeroed in runs.items():
+            blind, source = (zero_features(sides, zeroed), f"{dataset} [zeroed: {','.join(zeroed)}]") if zeroed else (sides, dataset)
+            _, result = fit_sides(blind.select(*FEATURE_NAMES, "label", "is_test"), make(), source)
+            row = result.select(F.lit(name).alias("run"), F.lit(",".join(zeroed)).alias("zeroed"), "*")
+            out = row if out is None else out.unionByName(row)
     return out
 
 
