@@ -123,3 +123,16 @@ def test_cuts_lie_between_values():
 def test_too_many_rows_or_few_levels_are_left_to_the_estimator():
     assert D.fits(MO.forest(), D.TASK_ROWS) and not D.fits(MO.forest(), D.TASK_ROWS + 1)
     assert not D.fits(MO.forest(trees=20, depth=8), 100) and not D.fits(MO.boosted(depth=20), 100)
+
+
+def test_train_gbt_boosts_in_full(spark, asked_for):
+    """5 rounds of depth 4 stood in for it."""
+    with pytest.raises(InterruptedError):
+        Q.train_gbt(spark, "none")
+    assert [(e.getMaxIter(), e.getMaxDepth(), e.getMaxBins(), e.getStepSize(), e.getSubsamplingRate()) for e in asked_for] == [(400, 8, 256, 0.05, 0.9)]
+
+
+def test_boosting_writes_its_errors_down(spark):
+    """Without a folder each round's plan holds those of all rounds before it."""
+    trained = MO.train(rows_of(spark, 60).drop("start_time", "row_id"), MO.boosted(rounds=12, depth=2))
+    assert not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() and trained.model.getNumTrees == 12
