@@ -10,10 +10,11 @@ A stream ends flows when the watermark passes; `heartbeat` lands a row far ahead
 from __future__ import annotations
 
 import json
+import pickle
 import threading
 import time
-from collections.abc import Iterator
-from dataclasses import astuple
+from collections.abc import Iterable, Iterator
+from dataclasses import astuple, dataclass
 from dataclasses import fields as fields_of
 from itertools import chain
 
@@ -68,6 +69,12 @@ TOTALS = [f.name for f in fields(SUMMARY)]
 BUCKETS = 8
 #: While the waiting packets of one conversation take fewer bytes than this they lie in the flow's own row: one read and one write a batch.
 FEW_BYTES = 1 << 18
+#: Conversations are dealt over so many shards, each with one row of state that grows with its open conversations.
+SHARDS = 1024
+#: Rows of a table that leaves Python.
+OUT_ROWS = 10_000
+#: Where the timer stands in a stored row (`STATE`).
+TIMER = -4
 
 
 class Flows(StatefulProcessor):
@@ -90,15 +97,23 @@ class Flows(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues):                      # the engine passes these by name
+        for out in self.arrived(key, map(Rows.of, rows), timerValues.getCurrentWatermarkInMs() * 1000):
+            yield self.frame([(key, out)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        for out in self.due(key, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs()):
+            yield self.frame([(key, out)])
+
+    def arrived(self, key: tuple, rows: Iterable[Rows], passed: int) -> Iterator[list[tuple]]:
         stored, few, buckets = self.stored()
-        for frame in rows:
-            few.append(Rows.of(frame))
+        for new in rows:
+            few.append(new)
             if buckets or sum(map(Rows.size, few)) > self.few_bytes:
                 self.file(key, few, buckets)
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, stored, few, buckets, None)
+        yield from self.advance(key, passed, stored, few, buckets, None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000, *self.stored(), expiredTimerInfo.getExpiryTimeInMs())
+    def due(self, key: tuple, passed: int, expired: int) -> Iterator[list[tuple]]:
+        yield from self.advance(key, passed, *self.stored(), expired)
 
     def stored(self) -> tuple[tuple | None, list[Rows], set[int]]:
         """The open flow with its timer, and the packets that wait: in the row itself, or the buckets that hold them (never both)."""
@@ -127,7 +142,7 @@ class Flows(StatefulProcessor):
     def width(self, key: tuple) -> int:
         return max(self.limit(key) // BUCKETS, 1)
 
-    def advance(self, key: tuple, passed: int, stored: tuple | None, few: list[Rows], buckets: set[int], expired: int | None) -> Iterator[pd.DataFrame]:
+    def advance(self, key: tuple, passed: int, stored: tuple | None, few: list[Rows], buckets: set[int], expired: int | None) -> Iterator[list[tuple]]:
         """Counts all packets the watermark has passed; what came before them is complete."""
         width, flow, timer = self.width(key), None, None
         if stored is not None:
@@ -151,14 +166,14 @@ class Flows(StatefulProcessor):
                 self.waiting.removeKey((b,))
             if ready:
                 flow = self.counted(key, flow, rows.take(np.arange(ready)), out)
-            if sum(len(o[0]) for o in out) > 10_000:
-                yield self.frame(key, out)
+            if sum(len(o[0]) for o in out) > OUT_ROWS:
+                yield out
                 out = []
         if flow is not None and passed - flow.last_us > self.limit(key):
             out.append(self.closed(flow, []))
             flow = None
         if out:
-            yield self.frame(key, out)
+            yield out
         due = [x for x in (first, None if flow is None else flow.last_us + self.limit(key)) if x is not None]
         want = max(min(due) // 1000 + 1, passed // 1000 + 1) if due else None
         if timer is not None and timer != want:
@@ -241,9 +256,166 @@ class Flows(StatefulProcessor):
         self.forget(flow)
         return ["closed"], [flow.flow_seq], [None], [None], [None], [None], [summary]
 
-    def frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        columns = [list(chain.from_iterable(c)) for c in zip(*out)]
-        return pd.DataFrame(dict(zip(OUT.names, [*([k] * len(columns[0]) for k in key), *columns])), dtype=object)
+    @staticmethod
+    def frame(parts: list[tuple[tuple, list[tuple]]]) -> pd.DataFrame:
+        """One table of what several conversations gave out."""
+        columns = [list(chain.from_iterable(c)) for c in zip(*[o for _, out in parts for o in out])]
+        keys = zip(*[key for key, out in parts for o in out for _ in o[0]])
+        return pd.DataFrame(dict(zip(OUT.names, [*map(list, keys), *columns])), dtype=object)
+
+
+class Desk:
+    """What `Flows` remembers of the conversation at hand (`name`): its row and few gaps in the shard's table, many gaps and
+    packets in maps of the engine."""
+
+    def __init__(self, waiting, gaps):
+        self.waiting, self.gaps = waiting, gaps
+        self.held: dict[str, list] = {}             # by conversation: row, gaps not yet moved, parts moved to the map
+        self.name = ""
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return Gaps(self)
+
+    def getMapState(self, *_):
+        return Waiting(self)
+
+    def registerTimer(self, at: int) -> None:       # it stands in the row; the shard has the earliest one registered
+        pass
+
+    deleteTimer = registerTimer
+
+    def entry(self) -> list:
+        return self.held.setdefault(self.name, [None, b"", 0])
+
+    def get(self) -> tuple | None:
+        return self.held[self.name][0] if self.name in self.held else None
+
+    def update(self, row: tuple) -> None:
+        self.entry()[0] = row
+
+    def clear(self) -> None:
+        self.held.pop(self.name, None)
+
+
+@dataclass
+class Gaps:
+    desk: Desk
+
+    def appendValue(self, value: tuple[bytes]) -> None:
+        entry = self.desk.entry()
+        entry[1] += value[0]
+        if len(entry[1]) > FEW_BYTES:
+            self.desk.gaps.updateValue((self.desk.name, entry[2]), (entry[1],))
+            entry[1:] = b"", entry[2] + 1
+
+    def get(self) -> Iterator[tuple[bytes]]:
+        _, few, parts = self.desk.entry()
+        yield from (self.desk.gaps.getValue((self.desk.name, part)) for part in range(parts))
+        if few:
+            yield (few,)
+
+    def clear(self) -> None:
+        entry = self.desk.entry()
+        for part in range(entry[2]):
+            self.desk.gaps.removeKey((self.desk.name, part))
+        entry[1:] = b"", 0
+
+
+@dataclass
+class Waiting:
+    desk: Desk
+
+    def getValue(self, bucket: tuple[int]) -> tuple[bytes, bytes]:
+        return self.desk.waiting.getValue((self.desk.name, *bucket))
+
+    def updateValue(self, bucket: tuple[int], value: tuple[bytes, bytes]) -> None:
+        self.desk.waiting.updateValue((self.desk.name, *bucket), value)
+
+    def removeKey(self, bucket: tuple[int]) -> None:
+        self.desk.waiting.removeKey((self.desk.name, *bucket))
+
+
+class Shards(StatefulProcessor):
+    """Many conversations a call: each by the rules of `Flows`, its row kept in one table of the shard.
+
+    A call of the engine, a row of its state, a timer and a table that leaves Python cost more than the packets of a short
+    conversation, so they are shared. The shard has one timer, the earliest of its conversations.
+    """
+
+    def __init__(self, flows: Flows):
+        self.flows = flows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.table = handle.getValueState("conversations", "data binary, timer bigint")
+        self.desk = Desk(handle.getMapState("waiting", "conversation string, bucket bigint", "at binary, data binary"),
+                         handle.getMapState("gaps", "conversation string, part bigint", "data binary"))
+        self.flows.init(self.desk)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):                      # the engine passes these by name
+        timer, passed = self.open(), timerValues.getCurrentWatermarkInMs() * 1000
+
+        def visits():
+            for frame in rows:
+                every = Rows.of(frame)
+                for name, where in frame.groupby("conversation", sort=False).indices.items():
+                    yield name, lambda ends: self.flows.arrived(ends, [every.take(where)], passed)
+
+        yield from self.visited(visits())
+        self.save(timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        timer, now = self.open(), timerValues.getCurrentWatermarkInMs()
+        due = [(name, at) for name, at in self.timers() if at <= now]
+        yield from self.visited((name, lambda ends: self.flows.due(ends, now * 1000, at)) for name, at in due)
+        self.save(None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+
+    def visited(self, visits: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        """What the conversations give out, in tables of many rows."""
+        parts, n = [], 0
+        for name, work in visits:
+            named = json.loads(name)
+            self.desk.name, ends = name, tuple(named.get(c) for c in FLOW_KEY)
+            for out in work(ends):
+                parts.append((ends, out))
+                n += sum(len(o[0]) for o in out)
+                if n > OUT_ROWS:
+                    yield self.flows.frame(parts)
+                    parts, n = [], 0
+        if parts:
+            yield self.flows.frame(parts)
+
+    def timers(self) -> Iterator[tuple[str, int]]:
+        return ((name, row[TIMER]) for name, (row, _, _) in self.desk.held.items() if row is not None and row[TIMER] is not None)
+
+    def open(self) -> int | None:
+        """Reads the shard's table; its timer."""
+        kept = self.table.get()
+        self.desk.held = pickle.loads(bytes(kept[0])) if kept is not None else {}
+        return kept[1] if kept is not None else None
+
+    def save(self, timer: int | None) -> None:
+        want = min((at for _, at in self.timers()), default=None)
+        if timer is not None and timer != want:
+            self.handle.deleteTimer(timer)
+        if want is not None and timer != want:
+            self.handle.registerTimer(want)
+        if self.desk.held:
+            self.table.update((pickle.dumps(self.desk.held, pickle.HIGHEST_PROTOCOL), want))
+        else:
+            self.table.clear()
+        self.desk.held = {}
+
+
+def conversation() -> Column:
+    """The 5-tuple as one text; parts that are null are left out."""
+    return F.to_json(F.struct(*FLOW_KEY))
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -253,18 +425,20 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def assign_flow_stream(packets: DataFrame, rules: FlowRules = FlowRules(), delay: str = DEFAULT_DELAY, with_packets: bool = True,
-                       few_bytes: int = FEW_BYTES) -> DataFrame:
+                       few_bytes: int = FEW_BYTES, shards: int = SHARDS) -> DataFrame:
     """Rows of two kinds: `packet` (with its flow, unless not asked for) and `closed` (a flow that just ended, with its totals).
 
     In a stream `flow_seq` is the packet_seq of the flow's first packet, so closed conversations leave no state
-    behind. Packets may come in any order within the watermark delay; later ones are dropped by the engine.
+    behind. Packets may come in any order within the watermark delay; later ones are dropped by the engine. Conversations are
+    dealt over `shards`: the rows of one shard's conversations are in memory at a time.
     """
     use_rocksdb(packets.sparkSession)
     keyed = with_flow_key(with_event_time(packets, delay))
     processor = Flows(round(rules.tcp_seconds * 1e6), round(rules.udp_seconds * 1e6), rules.teardown, with_packets, few_bytes)
+    shard = F.pmod(F.xxhash64(*FLOW_KEY), F.lit(shards))
     return (
-        keyed.select(*FLOW_KEY, *CARRIED, "ts").groupBy(*FLOW_KEY)
-        .transformWithStateInPandas(processor, OUT, "append", "eventTime")
+        keyed.select(shard.alias("shard"), conversation().alias("conversation"), *CARRIED, "ts").groupBy("shard")
+        .transformWithStateInPandas(Shards(processor), OUT, "append", "eventTime")
         .filter(F.col("flow_seq") != HEARTBEAT_SEQ)
         .withColumn("summary", F.from_json("summary", T.StructType(fields(SUMMARY)))).select(*OUT.names[:-1], "summary.*")
     )
